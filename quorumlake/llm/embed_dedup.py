@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .ann import common_length, matrix, usable
 from .components import components
 from .shared import cut
+from .units import runs, units
 
 #: Two vectors of cosine 0.9 agree in a bit with probability 0.856, so they share a bucket of one of the tables
 #: with probability 1 - (1 - 0.856**BITS)**TABLES, 0.9998; at 0.95 all but three in 10**8 do.
@@ -47,44 +48,6 @@ def codes(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "id long, codes binary")
 
 
-def _units(live: DataFrame) -> DataFrame:
-    """(key, i, j, side, ...): each row goes to every unit (i, j), i <= j, of its bucket that its part belongs to."""
-    parts = F.ceil(F.col("members") / PART).cast("int")
-    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
-    units = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, mine).alias("i"), F.greatest(p, mine).alias("j")))
-    return live.select("key", mine.alias("part"), F.explode(units).alias("u"), *[c for c in live.columns if c not in ("key", "members")]).select("key", "u.i", "u.j", "part", *[c for c in live.columns if c not in ("key", "members")])
-
-
-def _runs(batches: Iterator[pa.RecordBatch], names: int = 3) -> Iterator[pa.Table]:
-    """The units of a partition that is sorted by its first columns, one after the other."""
-    rest: list[pa.RecordBatch] = []
-
-    def ends(b: pa.RecordBatch) -> np.ndarray:
-        cols = [b.column(c).to_numpy() for c in range(names)]
-        new = np.zeros(len(b), bool)
-        for c in cols:
-            new[1:] |= c[1:] != c[:-1]
-        return np.flatnonzero(new)
-
-    last = None
-    for b in batches:
-        if not len(b):
-            continue
-        head = tuple(b.column(c)[0].as_py() for c in range(names))
-        cuts = ends(b)
-        if rest and head != last:
-            yield pa.Table.from_batches(rest)
-            rest = []
-        at = 0
-        for c in cuts:
-            yield pa.Table.from_batches([*rest, b.slice(at, c - at)])
-            rest, at = [], c
-        rest.append(b.slice(at))
-        last = tuple(b.column(c)[len(b) - 1].as_py() for c in range(names))
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """Links of cosine >= threshold (in double precision) and their components.
 
@@ -109,7 +72,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, id) of what has another member of its unit with few other bits."""
-        for unit in _runs(batches):
+        for unit in runs(batches):
             part, i, j = unit["part"].to_numpy(), unit["i"][0].as_py(), unit["j"][0].as_py()
             ids, sign = unit["id"].to_numpy(), np.frombuffer(b"".join(unit["sign"].to_pylist()), np.uint64).reshape(len(unit), -1)
             a, b = (np.flatnonzero(part == i), np.flatnonzero(part == j))
@@ -122,15 +85,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             if hit.any():
                 yield pa.RecordBatch.from_pydict({"key": unit["key"].to_numpy()[hit], "id": ids[hit]})
 
-    units = _units(spread.join(full, "key"))
-    kept = cut(units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "part", "id", "sign").mapInArrow(hopeful, "key int, id long").distinct(), "hopeful")
+    dealt = units(spread.join(full, "key"), PART)
+    kept = cut(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "part", "id", "sign").mapInArrow(hopeful, "key int, id long").distinct(), "hopeful")
     members = kept.groupBy("key").agg(F.count("*").alias("members"))
     heavy = coded.join(kept.select("id").distinct(), "id", "left_semi").join(classes, "id").select("id", "vec", "codes", "weight")
-    live = _units(kept.join(members, "key").join(heavy, "id"))
+    live = units(kept.join(members, "key").join(heavy, "id"), PART)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, n, root): links first found in this table, and the smallest id tied to it within the unit."""
-        for unit in _runs(batches):
+        for unit in runs(batches):
             table = unit["key"][0].as_py() >> BITS
             part, i, j = unit["part"].to_numpy(), unit["i"][0].as_py(), unit["j"][0].as_py()
             ids, weight = unit["id"].to_numpy(), unit["weight"].to_numpy()

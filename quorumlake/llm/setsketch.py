@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut
+from .shared import cut, map_file, new_folder, write_file
+from .units import runs, units
 from .words import mix, shingle_sets
 
 BANDS, ROWS = 32, 5
@@ -28,6 +30,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 _rng = np.random.Generator(np.random.PCG64(77))
 _FLIP = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2)
 _ODD = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Members of a bucket that are compared with each other at once.
+PART_OF_BUCKET = 512
 #: Set elements worked on at once.
 PART = 1 << 15
 
@@ -81,10 +85,6 @@ def lowest_estimate(threshold: float) -> float:
     return threshold - 5.2 * math.sqrt(threshold * (1 - threshold) / REGISTERS)
 
 
-def _binary(rows: list[bytes]) -> pa.Array:
-    return pa.array(rows, pa.binary())
-
-
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """docs: (id long, text). Returns (id, n, d1, d2, regs): set size, 128 bits that tell sets apart, registers (null if empty)."""
 
@@ -102,53 +102,127 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                         digests[k, full] = np.add.reduceat(mix(elements ^ np.uint64(0x5851F42D4C957F2D * (k + 1) % 2**64)), at)
                     for d, r in zip(full, registers(elements, sizes[full]).astype(">u2"), strict=True):
                         regs[d] = r.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), _binary(regs)], ["id", "n", "d1", "d2", "regs"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), pa.array(regs, pa.binary())], ["id", "n", "d1", "d2", "regs"])
 
     return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, regs binary")
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@dataclass
+class Sets:
+    """Full sets by id, as sorted arrays in the shared folder that workers map into memory."""
+
+    folder: str
+    parts: int
+
+    def of(self, id_: int) -> list[np.ndarray]:
+        """The sets of the texts that have this id."""
+        part = int(mix(np.array([id_]).view(np.uint64))[0] % np.uint64(self.parts))
+        ids, ends, elements = _mapped(self.folder, part)
+        low, high = np.searchsorted(ids, [id_, id_ + 1])
+        return [elements[ends[k - 1] if k else 0 : ends[k]] for k in range(low, high)]
+
+
+_opened: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+def _mapped(folder: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if (folder, part) not in _opened:
+        if len(_opened) > 4096:
+            _opened.clear()
+        _opened[folder, part] = (map_file(f"{folder}/ids-{part}", "<i8"), map_file(f"{folder}/ends-{part}", "<i8"), map_file(f"{folder}/elements-{part}", "<u8"))
+    return _opened[folder, part]
+
+
+def store_sets(docs: DataFrame, shingle: int) -> Sets:
+    """docs: (id long, text), ids not null. Writes each part's sets in the order of ids."""
+    spark = docs.sparkSession
+    sets = Sets(new_folder(spark, "sets"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 1000):
                 part = batch.slice(i, 1000)
                 elements, sizes = shingle_sets(part.column(1), shingle)
                 ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([part.column(0), _binary([elements[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)])], ["rep", "elements"])
+                to = (mix(part.column(0).to_numpy().view(np.uint64)) % np.uint64(sets.parts)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(to), part.column(0), pa.array([elements[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())], ["part", "id", "elements"])
+
+    def written(table: pa.Table) -> pa.Table:
+        k, table = table["part"][0].as_py(), table.sort_by("id")
+        own = table["elements"].to_pylist()
+        write_file(f"{sets.folder}/ids-{k}", table["id"].to_numpy().astype("<i8").tobytes())
+        write_file(f"{sets.folder}/ends-{k}", np.cumsum([len(e) // 8 for e in own]).astype("<i8").tobytes())
+        write_file(f"{sets.folder}/elements-{k}", b"".join(own))
+        return pa.table({"part": pa.array([k], pa.int32())})
 
-    return docs.mapInArrow(run, "rep long, elements binary")
+    docs.mapInArrow(made, "part int, id long, elements binary").groupBy("part").applyInArrow(written, "part int").collect()  # a number for each part
+    return sets
 
 
-def _likely(pairs: DataFrame, cards: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (x, y) whose registers don't speak against the threshold."""
-    least = lowest_estimate(threshold)
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def _as_registers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u2").astype(np.uint16).reshape(len(column), REGISTERS)
+
+
+def confirmed(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, nx: np.ndarray, ny: np.ndarray, sets: Sets, percent: int) -> np.ndarray:
+    """Which of the pairs are links: by estimate, then by their full sets."""
+    ok = estimate(rx, ry, nx.astype(np.float64), ny.astype(np.float64)) >= lowest_estimate(percent / 100)
+    for k in np.flatnonzero(ok):
+        ok[k] = any(alike(a, b, percent) for a in sets.of(int(x[k])) for b in sets.of(int(y[k])))
+    return ok
+
+
+def _stars(pairs: DataFrame, cards: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """The links among the pairs (x, y)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u2").reshape(len(batch), REGISTERS) for c in (2, 3))
-            n = [batch.column(c).to_numpy().astype(np.float64) for c in (4, 5)]
-            yield batch.select([0, 1]).filter(pa.array(estimate(a, b, *n) >= least))
+            if len(batch):
+                x, y, nx, ny = (batch.column(c).to_numpy() for c in (0, 1, 4, 5))
+                yield batch.select([0, 1]).filter(pa.array(confirmed(x, y, _as_registers(batch.column(2)), _as_registers(batch.column(3)), nx, ny, sets, percent)))
 
     one, two = (cards.select(F.col("rep").alias(c), F.col("regs").alias(f"r{c}"), F.col("n").alias(f"n{c}")) for c in "xy")
     return pairs.join(one, "x").join(two, "y").select("x", "y", "rx", "ry", "nx", "ny").mapInArrow(run, "x long, y long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * shared >= percent * (len(p) + len(q) - shared))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+def _across(now: DataFrame, cards: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """now: (key, band, rep, component, members). The links between members of a bucket in different components.
+
+    A bucket is dealt into parts and each pair of parts is one unit of work; only links leave it. A pair
+    is looked at in the first band that brings it together.
+    """
 
-    one, two = (sets.select(F.col("rep").alias(c), F.col("elements").alias(f"s{c}")) for c in "xy")
-    return pairs.join(one, "x").join(two, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in runs(batches):
+            band, part, i, j = unit["band"][0].as_py(), unit["part"].to_numpy(), unit["i"][0].as_py(), unit["j"][0].as_py()
+            reps, tied, n = unit["rep"].to_numpy(), unit["component"].to_numpy(), unit["n"].to_numpy()
+            regs = _as_registers(unit["regs"])
+            a, b = (np.flatnonzero(part == i), np.flatnonzero(part == j))
+            apart = tied[a][:, None] != tied[b][None, :]
+            if i == j:
+                apart &= reps[a][:, None] < reps[b][None, :]
+            p, q = np.nonzero(apart)
+            p, q = a[p], b[q]
+            for k in range(0, len(p), 8192):
+                x, y = p[k : k + 8192], q[k : k + 8192]
+                first = (regs[x] == regs[y]).reshape(len(x), BANDS, ROWS).all(2).argmax(1) == band
+                x, y = x[first], y[first]
+                ok = confirmed(reps[x], reps[y], regs[x], regs[y], n[x], n[y], sets, percent)
+                if ok.any():
+                    yield pa.RecordBatch.from_pydict({"x": reps[x[ok]], "y": reps[y[ok]]})
+
+    rows = units(now.join(cards, "rep").withColumnRenamed("rep", "id"), PART_OF_BUCKET).withColumnRenamed("id", "rep")
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.select("key", "i", "j", "part", "band", "rep", "component", "n", "regs").mapInArrow(run, "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -161,7 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Extra columns are ignored.
 
     Equal sets are one class. Within a bucket of a band, classes are first compared with two of
-    its members; what is then still in different components is compared pair by pair, so large
+    its members; what is then still in different components is compared block by block, so large
     buckets of much alike texts never make all their pairs, and no pair of a bucket is left out.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -169,15 +243,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = seen.where("n > 0 and id is not null")
     classes = full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.first("regs").alias("regs"))
     size = 2 * ROWS
-    bands = classes.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * size + 1, F.lit(size))))).alias("key"))
+    bands = classes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * size + 1, F.lit(size))))).alias("band", "key"))
     hubs = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("hub"), F.min_by("rep", F.xxhash64("rep")).alias("other")).where("members > 1").drop("members")
     live = cut(bands.join(hubs, "key"), "buckets")
     wanted = live.select("rep").distinct()
     cards = cut(classes.join(wanted, "rep", "left_semi").select("rep", "n", "regs"), "cards")
-    sets = cut(_sets(texts.join(wanted.withColumnRenamed("rep", "id"), "id", "left_semi"), shingle), "sets")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return cut(_confirmed(_likely(pairs, cards, percent / 100), sets, percent).distinct(), "links")
+    sets = store_sets(texts.join(wanted.withColumnRenamed("rep", "id"), "id", "left_semi"), shingle)
 
     def tied(links: DataFrame) -> DataFrame:
         return cut(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components")
@@ -186,13 +257,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return live.where(f"rep <> {hub}").select(F.col("rep").alias("x"), F.col(hub).alias("y"))
 
     # first each class against two of its bucket, then all that is in one bucket and still apart
-    links = linked(stars("hub").unionByName(stars("other")).distinct())
+    links = cut(_stars(stars("hub").unionByName(stars("other")).distinct(), cards, sets, percent), "links")
     found = tied(links)
-    now = live.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    apart = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    now = cut(now.join(apart, "key"), "apart")
-    a, b = (now.select("key", F.col("rep").alias(r), F.col("component").alias(f"c{r}")) for r in "xy")
-    more = linked(a.join(b, "key").where("cx < cy").select("x", "y").distinct())
+    now = live.select("key", "band", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
+    apart = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("key", "members")
+    more = cut(_across(now.join(apart, "key"), cards, sets, percent).distinct(), "links")
     if not more.isEmpty():
         found = tied(links.unionByName(more))
     first = full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left")
