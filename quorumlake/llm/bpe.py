@@ -184,8 +184,8 @@ def decode(encoded: DataFrame, ids_col: str = "ids", text_col: str = "decoded",
         from pyarrow import compute as pc
 
         for batch in batches:
-            for i in range(0, len(batch), 2000):
-                part = batch.slice(i, 2000)
+            for i in range(0, len(batch), 250):
+                part = batch.slice(i, 250)
                 ids = part.column(at)
                 flat = ids.flatten()
                 inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table)))

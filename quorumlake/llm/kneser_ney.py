@@ -59,6 +59,18 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, np.cumsum(n), END), n + 1
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+    """The texts of a partition, about SLICE of them at once."""
+    rest: list[pa.Array] = []
+    for batch in batches:
+        rest.append(batch.column(0))
+        if sum(map(len, rest)) >= SLICE:
+            yield pa.concat_arrays(rest)
+            rest = []
+    if sum(map(len, rest)):
+        yield pa.concat_arrays(rest)
+
+
 _opened: dict[str, list[np.ndarray]] = {}
 
 
@@ -184,16 +196,14 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     texts = docs.select(F.col(text_col).alias("text"))
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, len(batch), SLICE):
-                part = batch.column(0).slice(i, SLICE)
-                h, n = np.unique(_tokens(part)[0], return_counts=True)
-                bounds = np.searchsorted(_part_of(h, parts), np.arange(parts + 1))
-                full = np.flatnonzero(np.diff(bounds))
-                cut = [(int(bounds[k]), int(bounds[k + 1])) for k in full]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), pa.array([_squeeze(h[a:b]) for a, b in cut], pa.binary()), pa.array([_squeeze(n[a:b].astype("<u4")) for a, b in cut], pa.binary()), pa.array([len(part) * (k == full[0]) for k in full], pa.int64())], ["part", "keys", "counts", "texts"]
-                )
+        for part in _slices(batches):
+            h, n = np.unique(_tokens(part)[0], return_counts=True)
+            bounds = np.searchsorted(_part_of(h, parts), np.arange(parts + 1))
+            full = np.flatnonzero(np.diff(bounds))
+            cut = [(int(bounds[k]), int(bounds[k + 1])) for k in full]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full, pa.int32()), pa.array([_squeeze(h[a:b]) for a, b in cut], pa.binary()), pa.array([_squeeze(n[a:b].astype("<u4")) for a, b in cut], pa.binary()), pa.array([len(part) * (k == full[0]) for k in full], pa.int64())], ["part", "keys", "counts", "texts"]
+            )
 
     def words_of(table: pa.Table) -> pa.Table:
         k = table["part"][0].as_py()
@@ -211,21 +221,20 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     model = Model(folder, parts, shards, sizes, sum(r["tokens"] for r in made.values()), sum(r["texts"] for r in made.values()), (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), 0, (0, 0, 0))
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, len(batch), SLICE):
-                h, n = _tokens(batch.column(0).slice(i, SLICE))
-                w = model.numbers(h)
-                u = np.empty_like(w)
-                u[1:] = w[:-1]
-                u[np.cumsum(n) - n] = model.words
-                keys, counts = np.unique(model.keys(u, w), return_counts=True)
-                shard = mix(keys) % np.uint64(shards)
-                order = np.argsort(shard, kind="stable")
-                bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-                for k in np.flatnonzero(np.diff(bounds)):
-                    own = order[bounds[k] : bounds[k + 1]]
-                    steps = np.diff(keys[own], prepend=np.uint64(0))
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "steps": pa.array([_squeeze(steps)], pa.binary()), "counts": pa.array([_squeeze(counts[own].astype("<u4"))], pa.binary())})
+        for part in _slices(batches):
+            h, n = _tokens(part)
+            w = model.numbers(h)
+            u = np.empty_like(w)
+            u[1:] = w[:-1]
+            u[np.cumsum(n) - n] = model.words
+            keys, counts = np.unique(model.keys(u, w), return_counts=True)
+            shard = mix(keys) % np.uint64(shards)
+            order = np.argsort(shard, kind="stable")
+            bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+            for k in np.flatnonzero(np.diff(bounds)):
+                own = order[bounds[k] : bounds[k + 1]]
+                steps = np.diff(keys[own], prepend=np.uint64(0))
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "steps": pa.array([_squeeze(steps)], pa.binary()), "counts": pa.array([_squeeze(counts[own].astype("<u4"))], pa.binary())})
 
     first = np.concatenate([[0], np.cumsum(sizes)])
     first[-1] += 1  # the start of a text is the last context

@@ -61,9 +61,15 @@ def cut(df: DataFrame, what: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
+#: Rows of a batch between Spark and Python, where the session leaves Spark's default: texts are some KB each, their ids more.
+BATCH = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once for each application, as --py-files would."""
+    """Give this package to the executors' Python workers, once for each application, as --py-files would, and hold batches to BATCH rows."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
