@@ -47,13 +47,13 @@ def stream_frames(chunks: DataFrame) -> DataFrame:
 
 def in_sequence(pending: dict[int, str], following: int, seqs: list[int], data: list[str]) -> tuple[list[tuple[int, str]], int]:
     """Takes chunks in; returns what has become gap-free and the next number. A repeated pending number is appended to, one that has passed is dropped."""
+    out = []
     for s, x in zip(seqs, data, strict=True):
         if s >= following:
             pending[s] = pending.get(s, "") + x
-    out = []
-    while following in pending:
-        out.append((following, pending.pop(following)))
-        following += 1
+        while following in pending:
+            out.append((following, pending.pop(following)))
+            following += 1
     return out, following
 
 
