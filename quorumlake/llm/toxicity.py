@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 #: Terms of one line can stand for each other.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
@@ -124,7 +126,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     if not totals["n"]:
         return Model(0.0, {})
     part = min(1.0, sample_rows / totals["n"])
-    rows = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(part * (1 << 30)))
+    rows = cut(rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(part * (1 << 30))), "labelled")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
