@@ -11,6 +11,19 @@ from .scores import clamp, round2
 AXES = ("logicScore", "methodologyScore", "citationsScore", "falsifiabilityScore", "noveltyScore")
 VERDICTS = {"endorse": 1.0, "mixed": 0.5, "reject": 0.0}
 MOST_ITEMS = 6
+PERSONAS = {
+    "The Skeptic": "rigorously interrogates assumptions and demands evidence",
+    "Domain Expert": "deeply versed in the relevant field's prior literature and methods",
+    "The Generalist": "intelligent reader from outside the field assessing clarity and stakes",
+    "The Methodologist": "evaluates research design, statistics, and reproducibility",
+    "The Outsider": "creative thinker probing for unstated assumptions and overlooked angles",
+}
+CONSENSUS = {
+    "endorse": "Personas largely endorse the submission, with some reservations.",
+    "reject": "Personas largely push back; the submission needs substantial revision.",
+    "split": "Personas are split — the submission has a real case to make and real holes to fill.",
+    "waiting": "Awaiting full AI survey.",
+}
 
 
 def bare_json(text: Column) -> Column:
@@ -18,24 +31,34 @@ def bare_json(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))
 
 
+def is_null(text: Column) -> Column:
+    """Whether the answer is missing or JSON's null, from which nothing can be made."""
+    return text.isNull() | (bare_json(text) == "null")
+
+
+def _object(text: Column) -> Column:
+    bare = bare_json(text)
+    return F.when(bare.startswith("{"), bare).otherwise("{}")
+
+
 def rigor_report(text: Column) -> Column:
-    """struct of overallScore, the axes (0 to 10), critique and up to six strengths and weaknesses; null where the text is no JSON object."""
-    raw = F.from_json(bare_json(text), ", ".join(f"{a} string" for a in AXES) + ", critique string, strengths array<string>, weaknesses array<string>")
-    axes = [clamp(raw[a].try_cast("double"), 0.0, 10.0) for a in AXES]
+    """struct of overallScore, the axes (0 to 10), critique and up to six strengths and weaknesses. What is no number counts 0, text that is no JSON object too; null for JSON's null."""
+    raw = F.from_json(_object(text), ", ".join(f"{a} double" for a in AXES) + ", critique string, strengths array<string>, weaknesses array<string>")
+    axes = [clamp(raw[a], 0.0, 10.0) for a in AXES]
     overall = round2((axes[0] + axes[1] + axes[2] + axes[3] + axes[4]) / 5.0)
 
     def items(name: str) -> Column:
         return F.slice(F.coalesce(raw[name], F.array().cast("array<string>")), 1, MOST_ITEMS)
 
     made = F.struct(overall.alias("overallScore"), *(x.alias(a) for a, x in zip(AXES, axes, strict=True)), F.coalesce(raw["critique"], F.lit("")).alias("critique"), items("strengths").alias("strengths"), items("weaknesses").alias("weaknesses"))
-    return F.when(F.get_json_object(bare_json(text), "$").startswith("{"), made)
+    return F.when(~is_null(text), made)
 
 
 def survey_pass(text: Column, persona: Column) -> Column:
     """struct of persona, verdict, confidence (0 to 1), rationale."""
-    raw = F.from_json(bare_json(text), "verdict string, confidence string, rationale string")
+    raw = F.from_json(_object(text), "verdict string, confidence double, rationale string")
     verdict = F.when(raw["verdict"].isin(*VERDICTS), raw["verdict"]).otherwise("mixed")
-    return F.struct(persona.alias("persona"), verdict.alias("verdict"), clamp(raw["confidence"].try_cast("double"), 0.0, 1.0).alias("confidence"), F.coalesce(raw["rationale"], F.lit("")).alias("rationale"))
+    return F.struct(persona.alias("persona"), verdict.alias("verdict"), clamp(raw["confidence"], 0.0, 1.0).alias("confidence"), F.coalesce(raw["rationale"], F.lit("")).alias("rationale"))
 
 
 def survey(passes: Column) -> Column:

@@ -109,3 +109,38 @@ def without_query(url: Column) -> Column:
 def to_number(param: Column) -> Column:
     """A parameter as a number: blank is 0, anything else that is none is null."""
     return F.when(F.trim(param) == "", F.lit(0.0)).otherwise(F.trim(param).try_cast("double"))
+
+
+def time_ago(then: Column, now: Column) -> Column:
+    """How long ago (or ahead) in words; timestamps at either side."""
+    seconds = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(then.cast("timestamp"))
+    minutes = F.floor(F.abs(seconds) / 60.0 + 0.5)
+    months = F.floor(F.abs(F.months_between(now, then, roundOff=False))).cast("long")
+    years, rest = F.floor(months / 12).cast("long"), months % 12
+
+    def told(before: str, n: Column, unit: str) -> Column:
+        n = n.cast("long")
+        return F.concat(F.lit(before), n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"))
+
+    def rounded(unit_minutes: int) -> Column:
+        return F.floor(minutes / unit_minutes + 0.5)
+
+    words = (
+        F.when(minutes < 1, "less than a minute")
+        .when(minutes < 45, told("", minutes, "minute"))
+        .when(minutes < 90, "about 1 hour")
+        .when(minutes < 1440, told("about ", rounded(60), "hour"))
+        .when(minutes < 2520, "1 day")
+        .when(minutes < 43200, told("", rounded(1440), "day"))
+        .when(minutes < 86400, told("about ", rounded(43200), "month"))
+        .when(months < 12, told("", rounded(43200), "month"))
+        .when(rest < 3, told("about ", years, "year"))
+        .when(rest < 9, told("over ", years, "year"))
+        .otherwise(told("almost ", years + 1, "year"))
+    )
+    return F.when(seconds < 0, F.concat(F.lit("in "), words)).otherwise(F.concat(words, F.lit(" ago")))
+
+
+def initial(name: Column) -> Column:
+    """The first letter in upper case; null without one."""
+    return F.when(F.length(name) > 0, F.upper(F.substring(name, 1, 1)))

@@ -46,3 +46,17 @@ def revise(papers: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = both.select(F.col("id").alias("paper_id"), (F.col("revision_count") + 1).alias("revision_number"), "title", "abstract", F.col("new_summary").alias("summary"), F.col("new_at").alias("created_at"))
     new = both.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in ("title", "abstract") else (F.col("revision_count") + 1).alias(c) if c == "revision_count" else F.col("new_at").alias(c) if c == "updated_at" else F.col(c) for c in papers.columns])
     return rows, upsert(papers, new, ["id"])
+
+
+def create(drafts: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """drafts: (id, author_id, title, abstract, body, fields, references). (papers to append, drafts refused for a blank part or no tag).
+
+    Ids come from the caller: to count on from the largest one would put all rows in one task.
+    """
+    from quorumlake.functions.text import clean_references, clean_tags
+
+    rows = drafts.withColumn("fields", clean_tags(F.col("fields"))).withColumn("references", clean_references(F.col("references")))
+    full = [F.trim(F.col(c)) != "" for c in ("title", "abstract", "body")]
+    ok, refused = split_valid(rows, full[0] & full[1] & full[2] & (F.size("fields") > 0))
+    unscored = [F.lit("draft").alias("stage"), F.lit(None).cast("double").alias("rigor_score"), F.lit(None).cast("double").alias("ai_confidence"), F.lit(0).alias("revision_count"), at.alias("created_at"), at.alias("updated_at")]
+    return ok.select("id", "author_id", *[F.trim(F.col(c)).alias(c) for c in ("title", "abstract", "body")], "fields", "references", *unscored), refused

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -77,7 +78,7 @@ def debounce(events: DataFrame, gap: str = "300 milliseconds", at: str = "ts", v
 
 
 def retrying_map(items: DataFrame, call: Callable[[str], str], retryable: Callable[[str], bool], retries: int = 7, first_wait: float = 2.0, most_wait: float = 128.0) -> DataFrame:
-    """items: (index long, payload string) to (index, result, error, attempts). Only errors that retryable accepts are tried again, with doubled waits; a failure is a row, not an abort."""
+    """items: (index of any type, payload string) to (index, result, error, attempts). Only errors that retryable accepts are tried again, with doubled waits; a failure is a row, not an abort."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -96,4 +97,37 @@ def retrying_map(items: DataFrame, call: Callable[[str], str], retryable: Callab
                         wait = min(wait * 2, most_wait)
             yield pd.DataFrame(out, columns=["index", "result", "error", "attempts"])
 
-    return items.mapInPandas(run, "index long, result string, error string, attempts long")
+    return items.mapInPandas(run, f"index {items.schema['index'].dataType.simpleString()}, result string, error string, attempts long")
+
+
+def progress_events(results: DataFrame) -> DataFrame:
+    """results of retrying_map, stored (they are read twice), to the events that tell of them: (type, index, result, error, total, processed, errors).
+
+    In the order of `at`, two events an item: processing, then progress with its result or error;
+    before all started with the total, behind all complete with counts. Failed items count as processed.
+    """
+    none = {"index": results.schema["index"].dataType, "result": "string", "error": "string"}
+    counts = {c: F.lit(None).cast("long").alias(c) for c in ("total", "processed", "errors")}
+    own = results.select(F.explode(F.array(F.struct(F.lit(1).alias("step"), F.lit("processing").alias("type")), F.struct(F.lit(2).alias("step"), F.lit("progress").alias("type")))).alias("e"), "index", "result", "error")
+    items = own.select(F.struct(F.lit(1).alias("part"), "index", "e.step").alias("at"), "e.type", "index", *[F.when(F.col("e.step") == 2, F.col(c)).alias(c) for c in ("result", "error")], *counts.values())
+    totals = results.agg(F.count("*").alias("n"), F.count("error").alias("bad"))
+    ends = totals.select(F.explode(F.array(F.lit(0), F.lit(2))).alias("part"), "n", "bad")
+    last = F.col("part") == 2
+    ends = ends.select(
+        F.struct("part", F.lit(None).cast(none["index"]).alias("index"), F.lit(0).alias("step")).alias("at"), F.when(last, "complete").otherwise("started").alias("type"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()],
+        F.when(~last, F.col("n")).alias("total"), F.when(last, F.col("n")).alias("processed"), F.when(last, F.col("bad")).alias("errors"),
+    )
+    return ends.unionByName(items)
+
+
+def after_commit(rows: DataFrame, job: Callable[[DataFrame], None], checkpoint: str, once: bool = True):
+    """Streaming: starts job for each batch of rows that have been written; its errors are logged and don't stop the stream."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        try:
+            job(batch)
+        except Exception:
+            logging.getLogger(__name__).exception("the job after batch %d failed", number)
+
+    writer = rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

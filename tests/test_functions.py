@@ -40,9 +40,11 @@ def test_text(spark):
 
 
 def test_reports(spark):
-    r = one(spark, reports.rigor_report(F.lit('```json\n{"logicScore": 12, "methodologyScore": "x", "strengths": ["a","b","c","d","e","f","g"]}\n```')))
+    r = one(spark, reports.rigor_report(F.lit('```json\n{"logicScore": 12, "methodologyScore": "9", "strengths": ["a","b","c","d","e","f","g"]}\n```')))
     assert (r["logicScore"], r["methodologyScore"], r["overallScore"], len(r["strengths"]), r["critique"]) == (10, 0, 2, 6, "")
-    assert one(spark, reports.rigor_report(F.lit("not json"))) is None
+    for t in ("not json", '[{"logicScore": 5}]'):
+        assert one(spark, reports.rigor_report(F.lit(t)))["overallScore"] == 0
+    assert one(spark, reports.rigor_report(F.lit("null"))) is None
     passes = F.array(*[reports.survey_pass(F.lit(t), F.lit("p")) for t in ('{"verdict": "endorse", "confidence": 1}', '{"verdict": "what", "confidence": 1}', '{"verdict": "endorse", "confidence": 0}')])
     s = one(spark, reports.survey(passes))
     assert (s["confidence"], s["endorsing"], s["consensus"]) == (0.75, 2, "endorse")
