@@ -131,3 +131,16 @@ def after_commit(rows: DataFrame, job: Callable[[DataFrame], None], checkpoint:
 
     writer = rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def delta_events(chunks: DataFrame) -> DataFrame:
+    """(stream_id, chunk_no, transcript, audio) to (stream_id, chunk_no, part, type, data): what a chunk has of either, the transcript first; nulls and empty parts give none."""
+    parts = F.array(*[F.struct(F.lit(k).alias("type"), F.col(k).alias("data")) for k in ("transcript", "audio")])
+    full = F.filter(parts, lambda p: F.length(p["data"]) > 0)
+    return chunks.select("stream_id", "chunk_no", F.posexplode(full).alias("part", "p")).select("stream_id", "chunk_no", "part", "p.type", "p.data")
+
+
+def newest_request(frames_: DataFrame, requests: DataFrame) -> DataFrame:
+    """The frames of each stream's newest request; those of requests that a newer one has replaced go. frames_: (stream_id, request_no, ...), requests: (stream_id, request_no)."""
+    newest = requests.groupBy("stream_id").agg(F.max("request_no").alias("request_no"))
+    return frames_.join(newest, ["stream_id", "request_no"], "left_semi")

@@ -111,3 +111,11 @@ def test_time_ago(spark):
     rows = spark.createDataFrame(list(cases), "string").select("value", text.time_ago(F.col("value").cast("timestamp"), F.lit(now).cast("timestamp")).alias("t"))
     assert {r["value"]: r["t"] for r in rows.collect()} == cases
     assert [r[0] for r in spark.createDataFrame([("ada",), ("",), (None,)], "n string").select(text.initial(F.col("n"))).collect()] == ["A", None, None]
+
+
+def test_deltas_and_newest_request(spark):
+    chunks = spark.createDataFrame([(1, 0, "hi", "QQ=="), (1, 1, "", None), (1, 2, None, "QkI=")], "stream_id long, chunk_no long, transcript string, audio string")
+    assert [tuple(r) for r in sse.delta_events(chunks).orderBy("chunk_no", "part").collect()] == [(1, 0, 0, "transcript", "hi"), (1, 0, 1, "audio", "QQ=="), (1, 2, 0, "audio", "QkI=")]
+    rows = spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (2, 1, "only"), (3, 1, "gone")], "stream_id long, request_no long, frame string")
+    asked = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 1), (3, 2)], "stream_id long, request_no long")
+    assert sorted(r["frame"] for r in sse.newest_request(rows, asked).collect()) == ["new", "only"]
