@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,14 +15,14 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone", "iban", "national_phone", "us_ssn")
 BASE_KINDS = KINDS[:4]
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9+.(-])(?:\([0-9]{3}\)[\x20-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_CHUNK = re.compile(r"[^\x20\x09-\x0D@]*@[^\x20\x09-\x0D]*")
 _DIGITS = re.compile(r"[^0-9]")
 
 #: Score of a confirmed span without any context word, by kind; a base span is kept whatever its score.
@@ -64,19 +66,41 @@ def _score(kind: str, text: str, start: int, end: int) -> float:
     return round(min(1.0, max(0.0, score)), 3)
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of local part, @ and domain, found from each @: a local part holds none, so no character is walked twice."""
+    at = text.find("@")
+    free = 0
+    while at >= 0:
+        before = text[free:at]
+        start = free + len(before.rstrip(_LOCAL))
+        free = at + 1
+        if start < at and (m := _DOMAIN.match(text, at)):
+            yield start, m.end()
+            free = m.end()
+        at = text.find("@", free)
+
+
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of four dotted numbers: of a longer run of them each four in turn."""
+    for m in _DOTTED.finditer(text):
+        if (parts := m.group().split("."))[3:]:
+            at = m.start()
+            for i in range(0, len(parts) - 3, 4):
+                own = parts[i : i + 4]
+                end = at + sum(map(len, own)) + 3
+                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in own):
+                    yield at, end
+                at = end + 1
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) of one text in code points, end exclusive, by start, then kind as in KINDS."""
     if not text:
         return []
     found: list[tuple[str, int, int]] = []
-    if "@" in text:
-        # a match holds no blank, so each run of other characters can be searched by itself
-        for chunk in _CHUNK.finditer(text):
-            found += [("email", chunk.start() + m.start(), chunk.start() + m.end()) for m in _EMAIL.finditer(chunk.group())]
+    found += [("email", *x) for x in _emails(text)]
     if "." in text:
-        for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
-                found.append(("ip", *m.span()))
+        found += [("ip", *x) for x in _ips(text)]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := _DIGITS.sub("", m.group())) <= 19 and luhn(d):
             found.append(("card", *m.span()))
@@ -85,12 +109,16 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
             if 9 <= len(_DIGITS.sub("", m.group())) <= 15:
                 found.append(("phone", *m.span()))
     base = list(found)
+    # ends[i]: how far the base spans reach that are among the first i + 1
+    starts = sorted(s for _, s, _ in base)
+    ends = list(accumulate((e for _, _, e in sorted(base, key=lambda x: x[1])), max))
     more: list[tuple[str, int, int]] = []
     for kind, pattern in (("iban", _IBAN), ("national_phone", _NATIONAL), ("us_ssn", _SSN)):
         for m in pattern.finditer(text):
             if kind == "iban" and not mod97(m.group().replace(" ", "")):
                 continue
-            if not any(s < m.end() and m.start() < e for _, s, e in base):
+            before = bisect_left(starts, m.end())
+            if not before or ends[before - 1] <= m.start():
                 more.append((kind, *m.span()))
     spans = [(k, s, e, _score(k, text, s, e)) for k, s, e in [*base, *more]]
     spans = [x for x in spans if x[0] in BASE_KINDS or x[3] >= LEAST]
