@@ -20,20 +20,21 @@ GROUP = 4096
 #: Words whose ids a worker remembers; it starts anew beyond that.
 REMEMBERED = 400_000
 
-_known: dict[str, bytes] = {}
+_known: dict[str, dict[str, bytes]] = {}
 
 
 def token_ids(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each whole text as little-endian unsigned 32-bit numbers."""
-    if len(_known) > REMEMBERED:
-        _known.clear()
+    known = _known.setdefault(path, {})
+    if len(known) > REMEMBERED:
+        known.clear()
     split = [words(t) if t else [] for t in texts]
-    fresh = list({w for ws in split for w in ws if w not in _known})
+    fresh = list({w for ws in split for w in ws if w not in known})
     for i in range(0, len(fresh), 20000):
         part = fresh[i : i + 20000]
         for w, e in zip(part, tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-            _known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(_known.__getitem__, ws)) for ws in split]
+            known[w] = np.array(e.ids, "<u4").tobytes()
+    return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
@@ -94,12 +95,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """Where each piece of each document goes: the columns of pieces() and sequence_id long, offset long.
 
     Each token lies in exactly one piece; a sequence holds at most capacity tokens, without gaps from 0.
-    Pieces are dealt into groups of about GROUP by a hash of id, start and content, and each group is packed by itself.
+    Pieces are dealt into groups of about GROUP by a hash of id, start, content and place in the table of pieces,
+    and each group is packed by itself; a row repeated any number of times is spread over all groups.
     Null and repeated ids and rows are packed like others; no documents give no rows. Other columns are ignored.
     """
     own = cut(pieces(docs, id_col, text_col, path, capacity, end, keep_ids), "pieces")
     groups = max(1, -(-own.count() // GROUP))
-    dealt = own.select(F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int").alias("g"), "*")
+    # where the row stands in the stored table tells even equal rows apart, so no repeated row fills a group
+    stands = [F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1), F.col("_metadata.row_index")]
+    dealt = own.select(F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", *stands), F.lit(groups)).cast("int").alias("g"), "*")
     schema = own.schema.add("sequence_id", "long").add("offset", "long")
 
     def run(table: pa.Table) -> pa.Table:
