@@ -38,11 +38,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = windows.groupBy("wa", "wb").agg(F.min(F.struct("__ql_key", "pos")).alias("first"), F.max(F.struct("__ql_key", "pos")).alias("last")).where("first <> last").drop("last")
     same = F.col("first.__ql_key") == F.col("__ql_key")
     later = windows.join(firsts, ["wa", "wb"]).where(F.col("first") != F.struct("__ql_key", "pos"))
-    covered = later.select("__ql_key", F.when(same, F.greatest("pos", F.col("first.pos") + WIDTH)).otherwise(F.col("pos")).alias("s"), (F.col("pos") + WIDTH - 1).alias("e"))
-    runs = covered.groupBy("__ql_key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("runs"))
-    # one byte for each line up to the last that goes: 0 stays, 1 goes
-    grown = F.expr("aggregate(runs, '', (m, r) -> concat(m, repeat('0', greatest(r.s - length(m), 0)), repeat('1', greatest(r.e + 1 - greatest(r.s, length(m)), 0))))")
-    masks = runs.select(F.col("__ql_key").alias("__ql_at"), F.encode(grown, "utf-8").alias("__ql_mask"))
+    covered = later.select("__ql_key", F.sequence(F.when(same, F.greatest("pos", F.col("first.pos") + WIDTH)).otherwise(F.col("pos")), F.col("pos") + WIDTH - 1).alias("gone"))
+    merged = covered.groupBy("__ql_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    # one byte for each line up to the last that goes: 0 stays, 1 goes; each line that goes brings those since the one before it
+    steps = F.transform("gone", lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.coalesce(F.get("gone", i - 1), F.lit(-1)) - 1), F.lit("1")))
+    masks = merged.select(F.col("__ql_key").alias("__ql_at"), F.encode(F.array_join(steps, ""), "utf-8").alias("__ql_mask"))
     joined = keyed.join(masks, F.col("__ql_key").eqNullSafe(F.col("__ql_at")), "left")
     kept = F.filter(lines, lambda _, i: (i >= F.length("__ql_mask")) | (F.substring(F.col("__ql_mask"), i + 1, F.lit(1)) == F.lit(bytearray(b"0"))))
     out = joined.withColumn("__ql_kept", F.when(F.col("__ql_mask").isNotNull(), kept))
