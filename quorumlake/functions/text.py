@@ -144,3 +144,42 @@ def time_ago(then: Column, now: Column) -> Column:
 def initial(name: Column) -> Column:
     """The first letter in upper case; null without one."""
     return F.when(F.length(name) > 0, F.upper(F.substring(name, 1, 1)))
+
+
+def submission_complete(title: Column, abstract: Column, body: Column, fields: Column, summary: Column | None = None) -> Column:
+    """Whether all parts are there and at least one tag; a revision's summary too, where one is given."""
+    parts = [title, abstract, body, *([] if summary is None else [summary])]
+    full = F.size(fields) > 0
+    for c in parts:
+        full &= F.trim(c) != ""
+    return F.coalesce(full, F.lit(False))
+
+
+def one_decimal(x: Column) -> Column:
+    """A number not below zero with one decimal, the nearest to its binary value (exactly so below 128), halves up; null stays."""
+    units = F.floor(x * float(1 << 56)).cast("decimal(20,0)")  # a power of two: nothing is rounded here
+    exact = F.call_function("div", units * F.lit(20).cast("decimal(2,0)") + F.lit(1 << 56).cast("decimal(18,0)"), F.lit(1 << 57).cast("decimal(18,0)"))
+    n = F.when(x < 128, exact).otherwise(F.floor(x * 10.0 + 0.5))
+    return F.concat(F.floor(n / 10.0).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
+def url_with_query(path: Column, params: dict[str, Column]) -> Column:
+    """The path and its query in the order of params; null parameters are left out."""
+    given = F.array_compact(F.array(*[F.concat(F.lit(f"{name}="), F.url_encode(c.cast("string"))) for name, c in params.items()])) if params else F.array().cast("array<string>")
+    return F.when(F.size(given) > 0, F.concat(path, F.lit("?"), F.array_join(given, "&"))).otherwise(path)
+
+
+def labelled(key: Column, labels: dict[str, str]) -> Column:
+    """The label of a key; the key itself where it has none."""
+    return F.coalesce(*[F.when(key == k, v) for k, v in labels.items()], key)
+
+
+def is_author(author_id: Column, user_id: Column) -> Column:
+    """Nobody signed in (null) is no author."""
+    return F.coalesce(author_id == user_id, F.lit(False))
+
+
+def error_lines(messages: Column) -> Column:
+    """The messages that say something; null where there is none."""
+    kept = F.filter(messages, lambda m: m.isNotNull() & (m != ""))
+    return F.when(F.size(kept) > 0, kept)

@@ -61,6 +61,13 @@ def list_papers(d: Domain, stage: str = "all", field: str | None = None, author:
     return with_author(d, rows.orderBy(*order, "id").limit(limit_of(limit))).select(*SUMMARY)
 
 
+def trending(d: Domain, n: int) -> DataFrame:
+    """Of papers touched in the last 14 days the first n by rigor."""
+    now = F.expr(f"timestamp_ntz'{AS_OF}' - interval 14 days")
+    rows = d.summaries().where(F.col("updated_at") > now).orderBy(F.desc_nulls_first("rigor"), F.desc("updated_at"), "id").limit(n)
+    return with_author(d, rows).select(*SUMMARY)
+
+
 def _listed(where: str, order: str, n: int) -> str:
     return f"select {SUMMARY_SQL} from (select * from summaries where {where} order by {order}, id limit {n}) s left join profiles a on a.id = s.author_id"
 
@@ -102,9 +109,7 @@ def list_filtered(d):
 
 @query(_listed("updated_at > timestamp '2024-01-20' - interval 14 days", "rigor desc nulls first, updated_at desc", 12))
 def feed_trending(d):
-    now = F.expr(f"timestamp_ntz'{AS_OF}' - interval 14 days")
-    rows = d.summaries().where(F.col("updated_at") > now).orderBy(F.desc_nulls_first("rigor"), F.desc("updated_at"), "id").limit(FEED)
-    return with_author(d, rows).select(*SUMMARY)
+    return trending(d, FEED)
 
 
 @query(_listed("stage = 'promoted'", "updated_at desc", 12))
@@ -211,3 +216,25 @@ def stage_changes(d):
 @query("select id, floor(greatest(1e0, least(9e0, 4e0 + log10(greatest(length(body), 1)) + least(id % 9, 6) * 0.3e0)) * 100 + 0.5) / 100e0 score from papers")
 def fallback_score(d):
     return d.papers().select("id", scores.round2(scores.fallback_score(F.length("body"), F.col("id") % 9)).alias("score"))
+
+
+@query(_listed("true", "created_at desc", 10))
+def feed_recent(d):
+    return list_papers(d, limit=10)
+
+
+@query(_listed("updated_at > timestamp '2024-01-20' - interval 14 days", "rigor desc nulls first, updated_at desc", 3))
+def home_hero(d):
+    return trending(d, 3)
+
+
+@query("select author_key user_id, id, stage, row_number() over (partition by author_key order by created_at desc, id) position from summaries")
+def user_papers(d):
+    w = Window.partitionBy("author_key").orderBy(F.desc("created_at"), "id")
+    return d.summaries().select(F.col("author_key").alias("user_id"), "id", "stage", F.row_number().over(w).alias("position"))
+
+
+@query("select id, array_to_string(fields[1:2], ',') shown, greatest(len(fields) - 2, 0) more from papers")
+def card_tags(d):
+    shown = 2  # the test tables give each paper three tags
+    return d.papers().select("id", F.array_join(F.slice("fields", 1, shown), ",").alias("shown"), F.greatest(F.size("fields") - shown, F.lit(0)).alias("more"))

@@ -42,3 +42,29 @@ def redacted(row: Column, schema, fields: tuple[tuple[str, ...], ...] = SECRET_F
             quoted = ".".join(f"`{n}`" for n in path)
             row = row.withField(quoted, F.when(value.isNotNull(), F.lit(REDACTED)))
     return row
+
+
+#: Fixed value: bytes of a request's body that are taken at most.
+BODY_BYTES = 5 * 1024 * 1024
+
+
+def jdbc_table(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 1, **options: str) -> DataFrame:
+    """A table of a database. With a numeric key and its bounds it is read in so many partitions; rows beyond the bounds are read too."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if key and bounds:
+        reader = reader.options(partitionColumn=key, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(partitions))
+    return reader.load()
+
+
+def requests(bodies: DataFrame, schema: str, body: str = "body", most_bytes: int = BODY_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(rows with `request`, the body as a struct; rows refused, with `reason`: too large or no JSON object). Fields of a wrong type are null."""
+    read = bodies.withColumn("request", F.from_json(F.col(body), schema)).withColumn("__object", F.coalesce(F.trim(F.col(body)).startswith("{") & F.try_parse_json(F.col(body)).isNotNull(), F.lit(False)))
+    small = F.coalesce(F.octet_length(F.col(body)) <= most_bytes, F.lit(True))
+    good = read.where(small & F.col("__object")).drop("__object")
+    bad = read.where(~(small & F.col("__object"))).withColumn("reason", F.when(~small, "too large").otherwise("no JSON object")).drop("__object", "request")
+    return good, bad
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """(value): each row as a JSON object, nulls written out."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
