@@ -1,35 +1,32 @@
 """Words of texts, hashed in bulk.
 
 A word is a run of bytes other than space and 0x09-0x0D, with A-Z lower-cased.
-Texts are walked as UTF-8 bytes with numpy, so there is no Python work per word.
+Texts are walked as UTF-8 bytes with numpy, so there is no Python work per word (but for those of
+more than LONGEST bytes).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at once; small enough to stay in a CPU's cache.
 CHUNK = 1 << 19
+#: Longest word that is hashed by random multipliers, one pair for each place; longer ones go through BLAKE2.
+LONGEST = 1024
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_VALUE[65:91] = _VALUE[97:123]
+#: Independent random multipliers for each place of a word, twice.
+_KEYS = _rng.integers(0, 1 << 64, (2, LONGEST), dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[[0x20, *range(0x09, 0x0E)]] = True
+#: A byte's value in a hash: never 0 within a word, so words of different lengths differ; 0 for separators.
+_VALUE = _LOWER.astype(np.uint64) + np.uint64(1)
 _VALUE[_IS_SEP] = 0
-_RADIX = 0x9E3779B97F4A7C15
-_weights = np.ones(1, np.uint64)
-
-
-def _weight(n: int) -> np.ndarray:
-    """Odd multipliers for the first n positions of a word."""
-    global _weights
-    if len(_weights) < n:
-        powers = np.full(max(n, 4096), _RADIX, np.uint64)
-        powers[0] = 1
-        _weights = np.multiply.accumulate(powers)
-    return _weights
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,6 +52,24 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), bounds
 
 
+def segment_sums(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 56-bit sums for each of the segments of values that begin at starts (the first at 0), each of at most LONGEST values below 512.
+
+    The sums are multilinear, over independent random multipliers (not powers of one radix, so no
+    pattern cancels): two different segments agree in one with probability 2**-56, in both with 2**-112.
+    """
+    place = np.arange(len(values)) - np.repeat(starts, np.diff(np.append(starts, len(values))))
+    np.minimum(place, LONGEST - 1, out=place)
+    one, two = (np.add.reduceat(values * key[place], starts) >> np.uint64(8) for key in _KEYS)
+    return one, two
+
+
+def hash_segments(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the same segments, made from both sums."""
+    one, two = segment_sums(values, starts)
+    return mix(mix(one) + two)
+
+
 def _hash_part(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sep = _IS_SEP[data]
     first = np.ones(len(data), bool)
@@ -65,10 +80,13 @@ def _hash_part(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(bounds) - 1, np.int64)
     # separators after a word weigh nothing, so a word's segment may run up to the next word
-    spans = np.diff(np.append(starts, len(data)))
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, spans)
-    values = _VALUE[data[starts[0] :]] * _weight(int(spans.max()))[place]
-    hashes = mix(np.add.reduceat(values, starts - starts[0]))
+    hashes = hash_segments(_VALUE[data[starts[0] :]], starts - starts[0])
+    ends = np.append(starts[1:], len(data))
+    for i in np.flatnonzero(ends - starts > LONGEST):
+        own = data[starts[i] : ends[i]]
+        size = len(own) - int(sep[starts[i] : ends[i]][::-1].argmin())
+        if size > LONGEST:
+            hashes[i] = int.from_bytes(hashlib.blake2b(_LOWER[own[:size]].tobytes(), digest_size=8).digest(), "little")
     return hashes, np.diff(np.searchsorted(starts, bounds))
 
 

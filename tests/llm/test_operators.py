@@ -74,6 +74,24 @@ def test_words(sf):
     assert words.hash_words(pa.array([], pa.string()))[0].size == 0
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[k.bit_count() % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1000, 1023, 1024, 1025, 2048, 4096])
+def test_words_of_two_letters(spark, n):
+    import pyarrow as pa
+
+    a, b = thue_morse(n), thue_morse(n, "ba")
+    h, counts = words.hash_words(pa.array([f"{a} {b}\n{a.upper()}\t\t", f"{a}a {b}"]))
+    assert counts.tolist() == [3, 2] and h[0] == h[2] and h[1] == h[4] and len(set(h.tolist())) == 3
+    if n in (1024, 2048):
+        docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+        assert {r["doc_id"]: r["component_id"] for r in setsketch.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+        scored = kneser_ney.score(docs, kneser_ney.fit(docs.where("doc_id <> 2"))).collect()
+        assert {r["doc_id"]: r["n_known"] for r in scored} == {1: 2, 2: 1, 3: 2}
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(50)] + [(99, 50), (99, 98), (98, 99)], [(None, 1), (3, 2)]])
 def test_components(spark, edges):
     got = {r[0]: r[1] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -276,8 +294,14 @@ def test_bpe(spark, sf, odd):
     for r in got:
         ids, text = want[r["doc_id"]]
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
-    coded = sorted(((r["doc_id"] or 0, r["ids"], r["decoded"]) for r in bpe.decode(bpe.encode(odd)).collect()), key=str)
-    assert coded == sorted(((i or 0, *x) for (i, *_), x in zip(ODD, reference_ids([o[1] for o in ODD]), strict=True)), key=str)
+    strange = [*ODD, (9, "a", "e", "s", 1), (9, "don't 'S ''re <|EndOfText|>x<|endoftext|> 3rd x10²,y #\u0301 I\u0307x K \x00\x1f 'tis ''s A'LL\u00a0b\u2028c ß ﬁ Σς 漢字か9 İ, xİy É×÷é œuvre,été! ЙйЁ\u0306 l'État ŉx ǅ e\u0301t Ñ9", "e", "s", 1), *((k, "tok " * (4000 * k), "e", "s", 1) for k in (11, 12, 13)), (14, "w" * 3000 + " x", "e", "s", 1), *[(15, "one row again", "e", "s", 1)] * 50]
+    want = sorted((i or 0, *x) for (i, *_), x in zip(strange, reference_ids([o[1] for o in strange]), strict=True))
+    frame = spark.createDataFrame(strange, DOCS)
+    coded = bpe.encode(frame).withColumn("kept", F.col("ids"))
+    assert sorted((r["doc_id"] or 0, r["kept"], r["decoded"]) for r in bpe.decode(coded).collect()) == want
+    given = spark.createDataFrame([(1, None, "k"), (2, [], "k"), (3, [320, 10**6, 320], None), (4, [10**6], "k")], "pos int, ids array<int>, piece string")
+    one = bpe.pieces()[320]
+    assert sorted(map(tuple, bpe.decode(given).collect())) == [(1, "k", None), (2, "k", ""), (3, None, f"{one} {one}"), (4, "k", "")]
     assert bpe.decode(bpe.encode(odd.limit(0))).count() == 0
 
 
