@@ -1,27 +1,45 @@
-"""Byte-pair encoding by a table of distinct words, and decoding by a table of pieces.
+"""Byte-pair encoding by a table of distinct words, and decoding by a join with a table of pieces.
 
-Words are what lies between blanks: the tokenizers used here never make a token across one, so a
-text's ids are its words' ids one after the other. Documents are dealt into blocks; each block sends
-its distinct words, packed, to the word table, where each distinct word of the corpus is
-encoded once; the ids come back to the block and are put in place by position.
+Texts are split where the tokenizers used here always split: at blanks and, within words of ASCII
+letters, digits and signs, between these. So a text's ids are its words' ids one after the other.
+Documents are dealt into blocks of about BLOCK bytes; each block sends its distinct words, packed,
+to the word table, where each distinct word of the corpus is encoded once; the ids come back to
+the block by a join and are put in place by position.
 """
 
 from __future__ import annotations
 
 import os
-import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_BLANK = re.compile(r"[\x20\t-\r]+")
-#: Characters that str.split() takes for blanks and the tokenizers don't.
-_ODD = re.compile(r"[\x1c-\x1f]")
+from .words import LONGEST, hash_segments, segment_sums, text_bytes
+
+#: Bytes of text in a block, about, and blocks for each bucket of the word table: both follow from the data, never from the session.
+BLOCK, BLOCKS_A_BUCKET = 32 << 20, 4
+#: Words whose ids a worker remembers (it starts anew beyond that), and words encoded at once.
+REMEMBERED, AT_ONCE = 2_000_000, 20_000
+#: Bytes of text split at once.
+CHUNK = 4 << 20
+
+#: Blanks 0, letters 1, digits 2, signs 3; 4: a word with such a byte is left whole.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[:128] = 3
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[48:58] = 2
+_KIND[[0x27, 0x3C]] = 4  # ' may begin a contraction, < the string of a special token
+#: First bytes of two-byte characters that are letters, lower-cased into one letter and unchanged by composition (but for the two signs of C3).
+_LETTERS = (0xC3, 0xC5, 0xD0, 0xD1)
+_SIGNS = (0x97, 0xB7)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -41,10 +59,168 @@ def tokenizer(path: str):
     return t
 
 
-def words(text: str) -> list[str]:
-    if _ODD.search(text):
-        return [w for w in _BLANK.split(text) if w]
-    return text.split()
+def _split(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    kind = _KIND[data]
+    for byte in _LETTERS:
+        lead = np.flatnonzero(data == byte)
+        if len(lead):
+            lead = lead[~np.isin(data[lead + 1], _SIGNS)] if byte == 0xC3 else lead
+            kind[lead] = kind[lead + 1] = 1
+    full = kind != 0
+    new = np.ones(len(data), bool)
+    new[1:] = ~full[:-1]
+    inner = bounds[1:-1]
+    new[inner[inner < len(data)]] = True
+    new &= full
+    cut = new.copy()
+    cut[1:] |= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    cut &= full
+    at = np.flatnonzero(cut)
+    if not len(at):
+        return pa.array([], pa.string()), np.zeros(len(bounds) - 1, np.int64)
+    heads = new[at]
+    word = np.cumsum(heads) - 1
+    whole = np.zeros(word[-1] + 1, bool)
+    whole[word[kind[at] == 4]] = True
+    stay = heads | ~whole[word]
+    at, whole = at[stay], whole[word[stay]]
+    place = np.cumsum(full) - full
+    size = int(place[-1]) + int(full[-1])
+    ends = np.append(place[at], size)
+    own = data[full]
+    low = _LOWER[own]
+    if whole.any():
+        as_is = np.repeat(whole, np.diff(ends))
+        low[as_is] = own[as_is]
+    pieces = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(low.tobytes())])
+    return pieces, np.diff(np.searchsorted(at, bounds))
+
+
+def split_words(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(words in order, words of each text) for some texts after the other (null: empty).
+
+    Words of plain letters, digits and signs are lower-cased in ASCII and split into runs of letters, single digits and runs of signs; any other is left as it stands.
+    """
+    data, bounds = text_bytes(texts)
+    i, n = 0, len(bounds) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK, "right")) - 1)
+        yield _split(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+        i = j
+
+
+@lru_cache(maxsize=2)
+def _last(path: str) -> np.ndarray:
+    """For each id whether it ends a word."""
+    return np.array([bool(p) and p.endswith("</w>") for p in pieces(path)])
+
+
+def _simple(word: str) -> bool:
+    return word.isalpha() or (word.isascii() and "'" not in word and "<" not in word)
+
+
+def _encoded(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, ids of each). Words that make one token run each are encoded as one text and told apart by the ids that end a word."""
+    own, last = tokenizer(path), _last(path)
+    plain = np.fromiter(map(_simple, words), bool, len(words))
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (words' numbers, ids, sizes)
+    for some in (True, False):
+        at = np.flatnonzero(plain == some)
+        for i in range(0, len(at), AT_ONCE):
+            part = [words[k] for k in at[i : i + AT_ONCE].tolist()]
+            if some:
+                ids = np.array(own.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(last[ids]) + 1
+                if len(ends) == len(part) and ends[-1] == len(ids):
+                    parts.append((at[i : i + AT_ONCE], ids, np.diff(ends, prepend=0)))
+                    continue
+            found = [e.ids for e in own.encode_batch_fast(part, add_special_tokens=False)]
+            parts.append((at[i : i + AT_ONCE], np.array([x for f in found for x in f], np.uint32), np.array([len(f) for f in found], np.int64)))
+    if not parts:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    at, ids, sizes = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    back = np.empty(len(words), np.int64)
+    back[at] = np.arange(len(words))
+    return _gathered(ids, np.cumsum(sizes) - sizes, sizes, back)
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(what stands at these places one after the other, how much of it each place has)."""
+    n = sizes[at]
+    return flat[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+
+
+def _of_texts(n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of n over texts of so many words each."""
+    total = np.concatenate([[0], np.cumsum(n)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
+class _Table:
+    """Words' places by two sums of 56 bits, in the order of the first."""
+
+    def __init__(self) -> None:
+        self.one, self.two, self.place = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Places; -1 for unknown words."""
+        if not len(self.one):
+            return np.full(len(one), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
+        return np.where((self.one[at] == one) & (self.two[at] == two), self.place[at], -1).astype(np.int64)
+
+    def add(self, one: np.ndarray, two: np.ndarray, place: np.ndarray) -> None:
+        order = np.argsort(one)
+        at = np.searchsorted(self.one, one[order])
+        self.one, self.two, self.place = (np.insert(a, at, x[order]) for a, x in ((self.one, one), (self.two, two), (self.place, place)))
+
+
+class Remembered:
+    """Ids of the words that a worker has met, REMEMBERED at most and about 50 bytes each."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.clear()
+
+    def clear(self) -> None:
+        self.most, self.new = _Table(), _Table()
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each of some distinct words stands; those unknown are encoded first."""
+        data, bounds = text_bytes(words)
+        starts, lengths = bounds[:-1] - bounds[0], np.diff(bounds)
+        one, two = segment_sums(data[bounds[0] : bounds[-1]].astype(np.uint64) + np.uint64(1), starts)
+        short = lengths <= LONGEST
+        at = self.most.find(one, two)
+        left = np.flatnonzero(at < 0)
+        at[left] = self.new.find(one[left], two[left])
+        fresh = np.flatnonzero((at < 0) | ~short)
+        if len(fresh):
+            ids, sizes = _encoded(words.take(pa.array(fresh)).to_pylist(), self.path)
+            at[fresh] = np.arange(len(self.sizes), len(self.sizes) + len(fresh))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+            kept = fresh[short[fresh]]
+            self.new.add(one[kept], two[kept], at[kept].astype(np.int32))
+            if len(self.new.one) > len(self.most.one) // 8:
+                self.most.add(self.new.one, self.new.two, self.new.place)
+                self.new = _Table()
+        return at
+
+    def ids(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of some whole texts one after the other, ids of each), for some texts after the other."""
+        for words, counts in split_words(texts):
+            if len(self.sizes) > REMEMBERED:
+                self.clear()
+            if not len(words):
+                yield np.zeros(0, np.uint32), np.zeros(len(counts), np.int64)
+                continue
+            listed = words.dictionary_encode()
+            at = self.places(listed.dictionary)
+            ids, n = _gathered(self.flat, self.starts, self.sizes, at[listed.indices.to_numpy()])
+            yield ids, _of_texts(n, counts)
 
 
 def _squeeze(data: bytes) -> bytes:
@@ -56,8 +232,12 @@ def _swell(data: bytes) -> bytes:
 
 
 def _packed(docs: DataFrame, blocks: int) -> DataFrame:
-    """(block, ids, sizes, blob): the texts of some documents of a block, compressed."""
-    rows = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "id", F.coalesce("text", F.lit("")).alias("text"))
+    """(block, ids, sizes, blob): the texts of some documents of a block, compressed.
+
+    A repeated row goes to another block for each partition that holds it, so no block has more of them than a partition.
+    """
+    to = F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int")
+    rows = docs.select(to.alias("block"), "id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,20 +246,32 @@ def _packed(docs: DataFrame, blocks: int) -> DataFrame:
             for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else []:
                 texts = [t.encode() for t in batch.column(2).take(pa.array(own)).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block[own[0]]], pa.int32()), pa.array([batch.column(1).take(pa.array(own)).to_pylist()], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([_squeeze(b"".join(texts))], pa.binary())],
+                    [pa.array([block[own[0]]], pa.int32()), pa.array([batch.column(1).take(pa.array(own)).to_pylist()], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([_squeeze(b"".join(texts))], pa.binary())],
                     ["block", "ids", "sizes", "blob"],
                 )
 
-    return rows.mapInArrow(run, "block int, ids array<long>, sizes array<int>, blob binary")
+    return rows.mapInArrow(run, "block int, ids array<long>, sizes array<long>, blob binary")
 
 
-def _texts(table: pa.Table) -> Iterator[tuple[list[int | None], list[str]]]:
+def _texts(table: pa.Table) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """(ids, texts) of each row."""
     for ids, sizes, blob in zip(table["ids"], table["sizes"], table["blob"], strict=True):
-        data, at, out = _swell(blob.as_py()), 0, []
-        for n in sizes.as_py():
-            out.append(data[at : at + n].decode())
-            at += n
-        yield ids.as_py(), out
+        bounds = np.concatenate([[0], np.cumsum(np.array(sizes.as_py(), np.int64))])
+        yield ids.as_py(), pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(_swell(blob.as_py()))])
+
+
+def _dealt(lists: list[pa.Array], buckets: int) -> tuple[pa.Array, np.ndarray]:
+    """(the distinct words of lists by bucket, then alphabetically; where each bucket begins): the same for any order of the lists."""
+    known = pa.chunked_array(lists, pa.string()).unique()
+    known = known.take(pc.sort_indices(known))
+    if not len(known):
+        return known, np.zeros(buckets + 1, np.int64)
+    data, bounds = text_bytes(known)
+    starts, data = bounds[:-1] - bounds[0], data[bounds[0] : bounds[-1]]
+    # words beyond LONGEST share the last multiplier: that only deals them less evenly
+    to = hash_segments(data.astype(np.uint64) + np.uint64(1), starts) % np.uint64(buckets)
+    order = np.argsort(to, kind="stable")
+    return known.take(pa.array(order)), np.searchsorted(to[order], np.arange(buckets + 1))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -88,75 +280,56 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     Null and empty texts have no ids. Strings of special tokens in a text become these tokens, as
     with the library. Repeated rows and ids, and null ids, stay as they are; other columns are left out.
     """
-    spark = docs.sparkSession
     path = path or vocabulary_path()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = parts
-    packed = _packed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), 2 * parts).repartition(parts, "block")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(parts, -(-size // BLOCK))
+    buckets = max(1, blocks // BLOCKS_A_BUCKET)
+    packed = _packed(own, blocks).repartition(blocks, "block")
 
     def listed(table: pa.Table) -> pa.Table:
-        seen: set[str] = set()
-        for _, texts in _texts(table):
-            for t in texts:
-                seen.update(words(t))
-        dealt: list[list[str]] = [[] for _ in range(buckets)]
-        for w in sorted(seen):
-            dealt[zlib.crc32(w.encode()) % buckets].append(w)
-        full = [i for i, d in enumerate(dealt) if d]
-        block = table["block"][0].as_py()
-        return pa.table({"block": pa.array([block] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "words": pa.array([_squeeze("\n".join(dealt[i]).encode()) for i in full], pa.binary())})
+        lists = [words.unique() for _, texts in _texts(table) for words, _ in split_words(texts)]
+        words, bounds = _dealt(lists, buckets)
+        full = np.flatnonzero(np.diff(bounds)).tolist()
+        blobs = [_squeeze("\n".join(words.slice(bounds[i], bounds[i + 1] - bounds[i]).to_pylist()).encode()) for i in full]
+        return pa.table({"block": pa.array([table["block"][0].as_py()] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "words": pa.array(blobs, pa.binary())})
 
     def encoded(table: pa.Table) -> pa.Table:
-        lists = [_swell(w.as_py()).decode().split("\n") for w in table["words"]]
-        known = sorted(set().union(*lists))
-        own = tokenizer(path)
-        wide = own.get_vocab_size() > 65536
-        coded: dict[str, bytes] = {}
-        for i in range(0, len(known), 20000):
-            part = known[i : i + 20000]
-            for w, e in zip(part, own.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                coded[w] = np.array(e.ids, "<u4" if wide else "<u2").tobytes()
-        unit = 4 if wide else 2
-        ids, sizes = [], []
-        for ws in lists:
-            found = [coded[w] for w in ws]
-            sizes.append(_squeeze(np.array([len(x) // unit for x in found], "<u4").tobytes()))
-            ids.append(_squeeze(b"".join(found)))
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary()), "unit": pa.array([unit] * len(ids), pa.int32())})
-
-    table = packed.groupBy("block").applyInArrow(listed, "block int, bucket int, words binary").groupBy("bucket").applyInArrow(encoded, "block int, bucket int, sizes binary, ids binary, unit int")
+        lists = [pa.array(_swell(w.as_py()).decode().split("\n"), pa.string()) for w in table["words"]]
+        known = pa.chunked_array(lists, pa.string()).dictionary_encode().combine_chunks()
+        known = known.chunk(0) if isinstance(known, pa.ChunkedArray) else known
+        flat, sizes = _encoded(known.dictionary.to_pylist(), path)
+        kind = "<u4" if tokenizer(path).get_vocab_size() > 65536 else "<u2"
+        starts, at = np.cumsum(sizes) - sizes, known.indices.to_numpy()
+        blobs, begin = [], 0
+        for words in lists:
+            ids, n = _gathered(flat, starts, sizes, at[begin : begin + len(words)])
+            begin += len(words)
+            blobs.append((_squeeze(n.astype("<u4").tobytes()), _squeeze(ids.astype(kind).tobytes())))
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "sizes": pa.array([b[0] for b in blobs], pa.binary()), "ids": pa.array([b[1] for b in blobs], pa.binary()), "kind": pa.array([kind] * len(blobs))})
+
+    table = packed.groupBy("block").applyInArrow(listed, "block int, bucket int, words binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(encoded, "block int, bucket int, sizes binary, ids binary, kind string")
 
     def placed(texts: pa.Table, found: pa.Table) -> pa.Table:
-        groups = list(_texts(texts))
-        place: dict[str, int] = {}
-        ids_all, sizes_all = [], []
-        seen: set[str] = set()
-        for _, ts in groups:
-            for t in ts:
-                seen.update(words(t))
-        dealt: list[list[str]] = [[] for _ in range(buckets)]
-        for w in sorted(seen):
-            dealt[zlib.crc32(w.encode()) % buckets].append(w)
-        for bucket, sizes, ids, unit in zip(found["bucket"], found["sizes"], found["ids"], found["unit"], strict=True):
-            for w in dealt[bucket.as_py()]:
-                place[w] = len(place)
-            sizes_all.append(np.frombuffer(_swell(sizes.as_py()), "<u4"))
-            ids_all.append(np.frombuffer(_swell(ids.as_py()), f"<u{unit.as_py()}").astype(np.int32))
-        flat = np.concatenate(ids_all) if ids_all else np.zeros(0, np.int32)
-        sizes = np.concatenate(sizes_all).astype(np.int64) if sizes_all else np.zeros(0, np.int64)
-        starts = np.cumsum(sizes) - sizes
-        doc_ids, lengths, values = [], [], []
-        for own, ts in groups:
-            doc_ids += own
-            for t in ts:
-                at = np.fromiter(map(place.__getitem__, words(t)), np.int64)
-                n = sizes[at]
-                total = int(n.sum())
-                index = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(total)
-                values.append(flat[index])
-                lengths.append(total)
-        bounds = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pa.int32())
-        return pa.table({"id": pa.array(doc_ids, pa.int64()), "ids": pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(values) if values else np.zeros(0, np.int32), pa.int32()))})
+        groups = []
+        for doc_ids, own in _texts(texts):
+            groups.append((doc_ids, [(words.dictionary_encode(), counts) for words, counts in split_words(own)]))
+        words, _ = _dealt([d.dictionary for _, g in groups for d, _ in g], buckets)
+        found = found.sort_by("bucket")
+        sizes = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(_swell(x.as_py()), "<u4").astype(np.int64) for x in found["sizes"])])
+        flat = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(_swell(x.as_py()), k.as_py()).astype(np.int32) for x, k in zip(found["ids"], found["kind"], strict=True))])
+        starts, out = np.cumsum(sizes) - sizes, []
+        for doc_ids, parts in groups:
+            begin = 0
+            for d, counts in parts:
+                at = pc.index_in(d.dictionary, value_set=words).to_numpy(zero_copy_only=False).astype(np.int64)
+                ids, n = _gathered(flat, starts, sizes, at[d.indices.to_numpy()])
+                bounds = np.concatenate([[0], np.cumsum(_of_texts(n, counts))])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                out.append(pa.record_batch([pa.array(doc_ids[begin : begin + len(counts)], pa.int64()), lists], ["id", "ids"]))
+                begin += len(counts)
+        return pa.Table.from_batches(out, pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
     out = packed.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(placed, "id long, ids array<int>")
     return out.select(F.col("id").alias(id_col), F.col("ids").alias(ids_col))
@@ -169,32 +342,60 @@ def pieces(path: str | None = None) -> list[str | None]:
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str | None = None) -> DataFrame:
-    """encoded with text_col added: the pieces of its ids, special tokens kept, joined as a tokenizer without a decoder joins them, by blanks.
+    """encoded with text_col in place of ids_col: the pieces of the ids, special tokens kept, joined by blanks as a tokenizer without a decoder joins them.
 
-    The table of pieces has one row for each entry of the vocabulary, so it goes to every task.
-    No ids give an empty text, null ids a null one; an id outside the vocabulary is left out.
+    Each id, with its position, is joined with the table of pieces, which has one row for each entry of the
+    vocabulary and so may be broadcast; such a join keeps the order of the ids, and a text is put
+    together from what follows on each other (a position that does not is an error). No ids give an empty text,
+    null ids a null one; an id outside the vocabulary is left out. Rows and other columns stay.
     """
-    names = [c for c in encoded.columns if c != text_col]
-    own = encoded.select(*names)
-    at = names.index(ids_col)
-    path = path or vocabulary_path()
-    table = pa.array(pieces(path), pa.string())
+    spark = encoded.sparkSession
+    names = [c for c in encoded.columns if c not in (ids_col, text_col)]
+    table = spark.createDataFrame([(i, p) for i, p in enumerate(pieces(path)) if p is not None], "__ql_id int, __ql_piece string")
+    tokens = encoded.select(*names, F.col(ids_col).isNull().alias("__ql_null"), F.posexplode_outer(ids_col).alias("__ql_pos", "__ql_id")).join(F.broadcast(table), "__ql_id", "left")
+    head = F.coalesce(F.col("__ql_pos"), F.lit(0)) == 0
+    tokens = tokens.select("__ql_pos", "__ql_piece", F.when(head, F.col("__ql_null")).alias("__ql_null"), *[F.when(head, F.col(f"`{c}`")).alias(c) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import compute as pc
+        row, parts, due = None, [], 0
+
+        def ended() -> pa.RecordBatch:
+            text = pa.array([None if row.column(0)[0].as_py() else " ".join(parts)], pa.string())
+            return pa.RecordBatch.from_arrays([*row.columns[1:], text], [*names, text_col])
 
         for batch in batches:
-            for i in range(0, len(batch), 250):
-                part = batch.slice(i, 250)
-                ids = part.column(at)
-                flat = ids.flatten()
-                inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table)))
-                found = table.take(pc.if_else(inside, flat, None))
-                sizes = pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
-                bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                joined = pc.binary_join(pa.ListArray.from_arrays(bounds, found.fill_null("")), " ")
-                text = pc.if_else(pc.is_valid(ids), joined, None)
-                yield pa.RecordBatch.from_arrays([*part.columns, text.cast(pa.string())], [*names, text_col])
-
-    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in own.schema)
-    return own.mapInArrow(run, f"{kinds}, `{text_col}` string")
+            if not len(batch):
+                continue
+            pos = batch.column(0).fill_null(0).to_numpy()
+            at = np.flatnonzero(pos == 0)
+            starts = at if len(at) and at[0] == 0 else np.concatenate([[0], at])
+            step = np.arange(len(pos)) - np.repeat(starts, np.diff(np.append(starts, len(pos))))
+            if starts[0:1].tolist() != at[0:1].tolist():
+                step[: at[0] if len(at) else len(pos)] += due
+            if (step != pos).any():
+                raise RuntimeError("the ids of a text came out of order")
+            there = np.asarray(pc.is_valid(batch.column(1)))
+            bounds = np.concatenate([[0], np.cumsum(there)])[np.append(starts, len(pos))]
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), batch.column(1).drop_null()), " ")
+            filled = np.diff(bounds) > 0
+            first = 0
+            if len(starts) > len(at):  # the text goes on
+                if filled[0]:
+                    parts.append(joined[0].as_py())
+                first = 1
+            if not len(at):
+                due += len(pos)
+                continue
+            if row is not None:
+                yield ended()
+            inner = batch.select(range(2, batch.num_columns)).take(pa.array(at))
+            done = len(at) - 1
+            if done:
+                text = pc.if_else(inner.column(0).slice(0, done), pa.scalar(None, pa.string()), joined.take(pa.array(np.arange(first, first + done))))
+                yield pa.RecordBatch.from_arrays([*(c.slice(0, done) for c in inner.columns[1:]), text], [*names, text_col])
+            row, parts, due = inner.slice(done, 1), ([joined[len(starts) - 1].as_py()] if filled[-1] else []), len(pos) - int(at[-1])
+        if row is not None:
+            yield ended()
+
+    kinds = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in encoded.select(*names).schema)
+    return tokens.mapInArrow(run, f"{kinds}`{text_col}` string")

@@ -10,31 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import tokenizer, vocabulary_path, words
+from .bpe import Remembered, vocabulary_path
 from .shared import cut
 
 CAPACITY = 4096
 END = 2
 #: Pieces in a group, about; each group is packed by itself and leaves one badly filled sequence or two.
 GROUP = 4096
-#: Words whose ids a worker remembers; it starts anew beyond that.
-REMEMBERED = 400_000
 
-_known: dict[str, dict[str, bytes]] = {}
-
-
-def token_ids(texts: list[str | None], path: str) -> list[bytes]:
-    """The ids of each whole text as little-endian unsigned 32-bit numbers."""
-    known = _known.setdefault(path, {})
-    if len(known) > REMEMBERED:
-        known.clear()
-    split = [words(t) if t else [] for t in texts]
-    fresh = list({w for ws in split for w in ws if w not in known})
-    for i in range(0, len(fresh), 20000):
-        part = fresh[i : i + 20000]
-        for w, e in zip(part, tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, ws)) for ws in split]
+_known: dict[str, Remembered] = {}
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
@@ -43,21 +27,22 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     A document is its whole text's ids and then end, so one without text is a piece of one token.
     """
     path = path or vocabulary_path()
-    tail = np.array([end], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _known.setdefault(path, Remembered(path))
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                part = batch.slice(i, 500)
+            doc_ids, at = batch.column(0).to_pylist(), 0
+            for ids, n in known.ids(batch.column(1)):
+                ends = np.cumsum(n)
+                ids = np.insert(ids.astype("<u4"), ends, end)
                 out: list[tuple] = []
-                for d, ids in zip(part.column(0).to_pylist(), token_ids(part.column(1).to_pylist(), path), strict=True):
-                    ids += tail
-                    n = len(ids) // 4
-                    for s in range(0, n, capacity):
-                        own = ids[4 * s : 4 * (s + capacity)]
-                        out.append((d, s, len(own) // 4, zlib.crc32(own), n, *[np.frombuffer(own, "<i4")] * keep_ids))
-                columns = [*zip(*out, strict=True)] if out else [()] * len(names)
+                for d, a, b in zip(doc_ids[at : at + len(n)], ends - n + np.arange(len(n)), ends + np.arange(1, len(n) + 1), strict=True):
+                    for s in range(a, b, capacity):
+                        own = ids[s : min(s + capacity, b)]
+                        out.append((d, s - a, len(own), zlib.crc32(own), b - a, *[own.view("<i4")] * keep_ids))
+                at += len(n)
+                columns = [*zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int32()) if k == "ids" else pa.int64()) for c, k in zip(columns, names, strict=True)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

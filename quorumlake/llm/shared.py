@@ -1,7 +1,8 @@
 """Tables and files in the folder that driver and executors share.
 
 The folder is what the session names in spark.checkpoint.dir. Where that is
-unset, as in tests on one machine, a temporary folder is made and set.
+unset and the master is local, as in tests on one machine, a temporary folder is made and set;
+on a cluster that would be another folder on each machine, so it is an error there.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ _made: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quorumlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -61,15 +64,9 @@ def cut(df: DataFrame, what: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
-#: Rows of a batch between Spark and Python, where the session leaves Spark's default: texts are some KB each, their ids more.
-BATCH = 1000
-
-
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once for each application, as --py-files would, and hold batches to BATCH rows."""
+    """Give this package to the executors' Python workers, once for each application, as --py-files would."""
     sc = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
