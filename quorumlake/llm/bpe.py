@@ -25,8 +25,8 @@ from .words import LONGEST, hash_segments, segment_sums, text_bytes
 BLOCK, BLOCKS_A_BUCKET = 32 << 20, 4
 #: Words whose ids a worker remembers (it starts anew beyond that), and words encoded at once.
 REMEMBERED, AT_ONCE = 2_000_000, 20_000
-#: Bytes of text split at once.
-CHUNK = 4 << 20
+#: Bytes of text split at once, and ids decoded at once.
+CHUNK, DECODED = 4 << 20, 1 << 20
 
 #: Blanks 0, letters 1, digits 2, signs 3; 4: a word with such a byte is left whole.
 _KIND = np.full(256, 4, np.uint8)
@@ -344,58 +344,61 @@ def pieces(path: str | None = None) -> list[str | None]:
 def decode(encoded: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str | None = None) -> DataFrame:
     """encoded with text_col in place of ids_col: the pieces of the ids, special tokens kept, joined by blanks as a tokenizer without a decoder joins them.
 
-    Each id, with its position, is joined with the table of pieces, which has one row for each entry of the
-    vocabulary and so may be broadcast; such a join keeps the order of the ids, and a text is put
-    together from what follows on each other (a position that does not is an error). No ids give an empty text,
-    null ids a null one; an id outside the vocabulary is left out. Rows and other columns stay.
+    Some rows at once, about DECODED ids, send their distinct ids to a join with the table of pieces, which has one row
+    for each entry of the vocabulary and so may be broadcast. The first of these ids brings the rows along; a
+    join by broadcast leaves them together (ids that came apart are an error). No ids give an empty text, null ids a
+    null one; an id outside the vocabulary is left out. Rows and other columns stay.
     """
     spark = encoded.sparkSession
     names = [c for c in encoded.columns if c not in (ids_col, text_col)]
-    table = spark.createDataFrame([(i, p) for i, p in enumerate(pieces(path)) if p is not None], "__ql_id int, __ql_piece string")
-    tokens = encoded.select(*names, F.col(ids_col).isNull().alias("__ql_null"), F.posexplode_outer(ids_col).alias("__ql_pos", "__ql_id")).join(F.broadcast(table), "__ql_id", "left")
-    head = F.coalesce(F.col("__ql_pos"), F.lit(0)) == 0
-    tokens = tokens.select("__ql_pos", "__ql_piece", F.when(head, F.col("__ql_null")).alias("__ql_null"), *[F.when(head, F.col(f"`{c}`")).alias(c) for c in names])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, parts, due = None, [], 0
-
-        def ended() -> pa.RecordBatch:
-            text = pa.array([None if row.column(0)[0].as_py() else " ".join(parts)], pa.string())
-            return pa.RecordBatch.from_arrays([*row.columns[1:], text], [*names, text_col])
+    own = encoded.select(*[F.col(f"`{c}`") for c in names], F.col(ids_col).cast("array<int>").alias(ids_col))
+    table = spark.createDataFrame([(i, p) for i, p in enumerate(pieces(path)) if p is not None], "id int, piece string")
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            pos = batch.column(0).fill_null(0).to_numpy()
-            at = np.flatnonzero(pos == 0)
-            starts = at if len(at) and at[0] == 0 else np.concatenate([[0], at])
-            step = np.arange(len(pos)) - np.repeat(starts, np.diff(np.append(starts, len(pos))))
-            if starts[0:1].tolist() != at[0:1].tolist():
-                step[: at[0] if len(at) else len(pos)] += due
-            if (step != pos).any():
-                raise RuntimeError("the ids of a text came out of order")
-            there = np.asarray(pc.is_valid(batch.column(1)))
-            bounds = np.concatenate([[0], np.cumsum(there)])[np.append(starts, len(pos))]
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), batch.column(1).drop_null()), " ")
-            filled = np.diff(bounds) > 0
-            first = 0
-            if len(starts) > len(at):  # the text goes on
-                if filled[0]:
-                    parts.append(joined[0].as_py())
-                first = 1
-            if not len(at):
-                due += len(pos)
-                continue
-            if row is not None:
-                yield ended()
-            inner = batch.select(range(2, batch.num_columns)).take(pa.array(at))
-            done = len(at) - 1
-            if done:
-                text = pc.if_else(inner.column(0).slice(0, done), pa.scalar(None, pa.string()), joined.take(pa.array(np.arange(first, first + done))))
-                yield pa.RecordBatch.from_arrays([*(c.slice(0, done) for c in inner.columns[1:]), text], [*names, text_col])
-            row, parts, due = inner.slice(done, 1), ([joined[len(starts) - 1].as_py()] if filled[-1] else []), len(pos) - int(at[-1])
-        if row is not None:
-            yield ended()
-
-    kinds = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in encoded.select(*names).schema)
-    return tokens.mapInArrow(run, f"{kinds}`{text_col}` string")
+            at = 0
+            ends = np.cumsum(pc.list_value_length(batch.column(len(names))).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            while at < len(batch):
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DECODED, "right")))
+                part = batch.slice(at, stop - at)
+                at = stop
+                ids = part.column(len(names)).flatten().drop_null().unique()
+                ids = ids.take(pc.sort_indices(ids)) if len(ids) else pa.array([None], pa.int32())
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                blob = pa.array([sink.getvalue().to_pybytes(), *[None] * (len(ids) - 1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(len(ids)), pa.int32()), pa.array(np.full(len(ids), len(ids)), pa.int32()), blob], ["id", "pos", "of", "rows"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            at = 0
+            while at < len(batch):
+                due = int((held[0]["of"] if held else batch["of"])[0 if held else at].as_py()) - sum(map(len, held))
+                held.append(batch.slice(at, due))
+                at += due
+                if sum(map(len, held)) == held[0]["of"][0].as_py():
+                    yield written(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+        if held:
+            raise RuntimeError("ids of some rows are missing")
+
+    def written(found: pa.Table) -> pa.RecordBatch:
+        if (found["pos"].to_numpy() != np.arange(len(found))).any():
+            raise RuntimeError("ids of some rows came apart")
+        rows = pa.ipc.open_stream(found["rows"][0].as_buffer()).read_next_batch()
+        ids = rows.column(len(names))
+        flat = ids.flatten()
+        at = pc.index_in(flat, value_set=found["id"].combine_chunks().drop_null()) if len(flat) else pa.array([], pa.int32())
+        taken = found["piece"].combine_chunks().take(at)
+        there = np.asarray(pc.is_valid(taken))
+        sizes = pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
+        bounds = np.concatenate([[0], np.cumsum(there)])[np.concatenate([[0], np.cumsum(sizes)])]
+        text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), taken.drop_null()), " ")
+        text = pc.if_else(pc.is_valid(ids), text, pa.scalar(None, text.type)).cast(pa.string())
+        return pa.RecordBatch.from_arrays([*rows.columns[: len(names)], text], [*names, text_col])
+
+    kinds = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in own.select(*[F.col(f"`{c}`") for c in names]).schema)
+    distinct = own.mapInArrow(listed, "id int, pos int, of int, rows binary")
+    return distinct.join(F.broadcast(table), "id", "left").select("id", "pos", "of", "rows", "piece").mapInArrow(joined, f"{kinds}`{text_col}` string")
