@@ -23,6 +23,10 @@ from .words import hash_words, mix
 END = mix(np.array([0x656E64], np.uint64))[0]
 #: Documents counted or scored at once.
 SLICE = 4000
+#: Bytes of text for each part of the vocabulary and shard of bigrams, about: their numbers follow from the data.
+PART_BYTES = 64 << 20
+#: A bigram's count from here on stands in a table of its own, with 64 bits.
+MANY = 2**32 - 1
 
 
 def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -138,17 +142,22 @@ class Model:
         out, shard = np.zeros(len(known), np.int64), mix(known) % np.uint64(self.shards)
         order = np.argsort(shard, kind="stable")
         bounds = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        counts = _mapped(self.folder, "pair-counts", self.shards, "<u4")
+        counts, large = _mapped(self.folder, "pair-counts", self.shards, "<u4"), _mapped(self.folder, "pair-large", self.shards, "<i8")
         for i, own in enumerate(_mapped(self.folder, "pairs", self.shards, "<u8")):
             at = order[bounds[i] : bounds[i + 1]]
             if len(at) and len(own):
                 place = np.minimum(np.searchsorted(own, known[at]), len(own) - 1)
-                out[at] = np.where(own[place] == known[at], counts[i][place], 0)
+                found = counts[i][place].astype(np.int64)
+                if len(large[i]):
+                    rows, more = large[i].reshape(-1, 2).T
+                    big = np.flatnonzero(found == MANY)
+                    found[big] = more[np.searchsorted(rows, place[big])]
+                out[at] = np.where(own[place] == known[at], found, 0)
         return out[back]
 
     def low(self, numbers: np.ndarray) -> np.ndarray:
         """Probabilities of words by the number of words that they follow; the rest goes to all words and the unknown one alike."""
-        c = self._of_words("follows", numbers, "<u4", 1)[:, 0]
+        c = self._of_words("follows", numbers, "<i8", 1)[:, 0]
         if not self.low_total:
             return np.full(len(numbers), 1 / (self.words + 1))
         d = np.array([0.0, *self.low_discounts])[np.minimum(c, 3)]
@@ -165,7 +174,7 @@ class Model:
         u[starts] = self.words
         single = self._of_words("counts", w, "<i8", 1)[:, 0]
         base = np.log10((single + 1) / (self.tokens + self.words + 1))
-        before = self._of_words("contexts", u, "<u4", 3)
+        before = self._of_words("contexts", u, "<i8", 3)
         total = np.where(u == self.words, self.texts, self._of_words("counts", np.where(u == self.words, -1, u), "<i8", 1)[:, 0])
         both = (u >= 0) & (w >= 0)
         c = np.zeros(len(w), np.int64)
@@ -189,11 +198,15 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """Count all texts of docs (null: empty); a text's end is a token. Without rows every word is unknown."""
+    """Count all texts of docs (null: empty); a text's end is a token. Without rows every word is unknown.
+
+    A bigram's key has 64 bits for two word numbers, so more than 4.2e9 distinct words are an error.
+    """
     spark = docs.sparkSession
-    parts = shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     folder = new_folder(spark, "ngrams")
     texts = docs.select(F.col(text_col).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
@@ -213,11 +226,13 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         return pa.table({"part": pa.array([k], pa.int32()), "words": [len(h)], "tokens": [int(n.sum())], "texts": [sum(table["texts"].to_pylist())]})
 
     # one short row for each part
-    made = {r["part"]: r for r in texts.mapInArrow(singles, "part int, keys binary, counts binary, texts long").groupBy("part").applyInArrow(words_of, "part int, words long, tokens long, texts long").collect()}
+    made = {r["part"]: r for r in texts.mapInArrow(singles, "part int, keys binary, counts binary, texts long").repartition(parts, "part").groupBy("part").applyInArrow(words_of, "part int, words long, tokens long, texts long").collect()}
     for k in set(range(parts)) - made.keys():
         write_file(f"{folder}/words-{k}", b"")
         write_file(f"{folder}/counts-{k}", b"")
     sizes = [made[k]["words"] if k in made else 0 for k in range(parts)]
+    if (sum(sizes) + 1) ** 2 >= 2**64:
+        raise OverflowError("too many distinct words for bigram keys of 64 bits")
     model = Model(folder, parts, shards, sizes, sum(r["tokens"] for r in made.values()), sum(r["texts"] for r in made.values()), (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), 0, (0, 0, 0))
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +260,9 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         keys = [np.cumsum(_swell(x.as_py(), "<u8"), dtype=np.uint64) for x in table["steps"]]
         keys, counts = _summed(np.concatenate(keys), np.concatenate([_swell(x.as_py(), "<u4") for x in table["counts"]]).astype(np.int64))
         write_file(f"{folder}/pairs-{k}", keys.astype("<u8").tobytes())
-        write_file(f"{folder}/pair-counts-{k}", np.minimum(counts, 2**32 - 1).astype("<u4").tobytes())
+        write_file(f"{folder}/pair-counts-{k}", np.minimum(counts, MANY).astype("<u4").tobytes())
+        large = np.flatnonzero(counts >= MANY)
+        write_file(f"{folder}/pair-large-{k}", np.stack([large, counts[large]], 1).astype("<i8").tobytes())
         u, w = keys // np.uint64(model.words + 1), keys % np.uint64(model.words + 1)
         rows = [("total", 0, None, None, None, None, [int((counts == c).sum()) for c in (1, 2, 3, 4)])]
         for kind, ids in (("context", u.astype(np.int64)), ("follows", w.astype(np.int64))):
@@ -270,31 +287,32 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
                 at = np.cumsum(_swell(numbers.as_py(), "<u4"), dtype=np.int64)
                 for j, c in enumerate(cells):
                     out[at, j] += _swell(c.as_py(), "<u4")
-            write_file(f"{folder}/{'contexts' if kind == 'context' else kind}-{k}", out.astype("<u4").tobytes())
+            write_file(f"{folder}/{'contexts' if kind == 'context' else kind}-{k}", out.astype("<i8").tobytes())
             n = [] if kind == "context" else [int(out.sum()), *(int((out == c).sum()) for c in (1, 2, 3, 4)), int((out > 2).sum())]
         return pa.Table.from_arrays([pa.array([kind]), pa.array([k], pa.int32()), pa.array([n], pa.list_(pa.int64()))], ["kind", "part", "n"])
 
-    counted = texts.mapInArrow(bigrams, "shard int, steps binary, counts binary").groupBy("shard").applyInArrow(shard_of, kinds)
+    counted = texts.mapInArrow(bigrams, "shard int, steps binary, counts binary").repartition(shards, "shard").groupBy("shard").applyInArrow(shard_of, kinds)
     # a few numbers for each part
-    told = counted.groupBy("kind", "part").applyInArrow(tables_of, "kind string, part int, n array<long>").collect()
+    told = counted.repartition(parts, "kind", "part").groupBy("kind", "part").applyInArrow(tables_of, "kind string, part int, n array<long>").collect()
     there = {(r["kind"], r["part"]) for r in told}
     for k in range(parts):
         size = int(first[k + 1] - first[k])
         if ("context", k) not in there:
-            write_file(f"{folder}/contexts-{k}", bytes(12 * size))
+            write_file(f"{folder}/contexts-{k}", bytes(24 * size))
         if ("follows", k) not in there:
-            write_file(f"{folder}/follows-{k}", bytes(4 * size))
+            write_file(f"{folder}/follows-{k}", bytes(8 * size))
     if not told:
         for k in range(shards):
             write_file(f"{folder}/pairs-{k}", b"")
             write_file(f"{folder}/pair-counts-{k}", b"")
+            write_file(f"{folder}/pair-large-{k}", b"")
         return model
     n = next(r["n"] for r in told if r["kind"] == "total")
     low = np.array([r["n"] for r in told if r["kind"] == "follows"]).sum(0).tolist()
     model.discounts, model.low_discounts = discounts(n), discounts(low[1:5])
     model.low_total, model.low_types = low[0], (low[1], low[2], low[5])
     for k in range(shards):  # a shard without bigrams has made no file
-        for name in ("pairs", "pair-counts"):
+        for name in ("pairs", "pair-counts", "pair-large"):
             if not file_exists(f"{folder}/{name}-{k}"):
                 write_file(f"{folder}/{name}-{k}", b"")
     return model
