@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,133 +10,156 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ann import common_length, matrix, usable
-from .components import components
+from .ann import by_length, matrix, usable
+from .components import components, join_spread
 from .shared import cut
-from .units import runs, units
+from .units import groups, pairs, units
 
-#: Two vectors of cosine 0.9 agree in a bit with probability 0.856, so they share a bucket of one of the tables
-#: with probability 1 - (1 - 0.856**BITS)**TABLES, 0.9998; at 0.95 all but three in 10**8 do.
-TABLES, BITS = 96, 16
+#: A pair at the threshold shares no bucket with this probability; tables are as many as that takes.
+MISSED = 2e-4
 #: Members of a bucket that are compared with each other at once; a larger bucket is dealt into parts, and each pair of parts is a unit.
 PART = 1024
-#: Of the first SIGNED bits, this many may differ in a pair that is compared exactly: six standard deviations over what is expected at 0.9.
+#: Bits of a second code: a pair whose codes differ in more of them than most_differing() is not compared exactly.
 SIGNED = 256
+#: Pairs compared at once; groups of more than DENSE vectors are multiplied as matrices.
+PAIRS, DENSE = 1 << 16, 96
 SEED = 5
 
 
-def _planes(dim: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(SEED)).standard_normal((dim, TABLES * BITS)).astype(np.float32)
+def plan(n: int, threshold: float, missed: float = MISSED) -> tuple[int, int]:
+    """(tables, bits) for n vectors: bits grow with log n, so that buckets of unlike vectors stay small, and tables with bits, so that none more is missed."""
+    bits = min(40, max(10, math.ceil(math.log2(max(n, 2)))))
+    agree = (1 - math.acos(threshold) / math.pi) ** bits
+    return math.ceil(math.log(missed) / math.log1p(-agree)), bits
 
 
 def most_differing(threshold: float) -> int:
+    """Six standard deviations over what is expected at the threshold."""
     p = np.arccos(threshold) / np.pi
     return int(np.ceil(SIGNED * p + 6 * np.sqrt(SIGNED * p * (1 - p))))
 
 
-def codes(vectors: DataFrame) -> DataFrame:
-    """vectors: (id, vec). Returns (id, codes): TABLES codes of BITS bits, packed."""
+def codes(vectors: DataFrame, tables: int, bits: int) -> DataFrame:
+    """vectors: (id, vec). Returns (id, codes: a number of bits bits for each table, sign: SIGNED bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        powers = np.int64(1) << np.arange(bits, dtype=np.int64)
         for batch in batches:
-            if not len(batch):
-                continue
-            x = matrix(batch.column(1))
-            x = (x / np.abs(x).max(1, keepdims=True)).astype(np.float32)
-            packed = np.packbits(x @ _planes(x.shape[1]) > 0, axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], ["id", "codes"])
-
-    return vectors.mapInArrow(run, "id long, codes binary")
-
-
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
+            for part in by_length(batch, 1):
+                for i in range(0, len(part), 2000):
+                    own = part.slice(i, 2000)
+                    x = matrix(own.column(1))
+                    x = (x / np.abs(x).max(1, keepdims=True)).astype(np.float32)
+                    dim = x.shape[1]
+                    if dim not in planes:
+                        planes = {dim: np.random.Generator(np.random.PCG64(SEED)).standard_normal((dim, SIGNED + tables * bits)).astype(np.float32)}
+                    above = x @ planes[dim] > 0
+                    sign = np.packbits(above[:, :SIGNED], axis=1)
+                    code = (above[:, SIGNED:].reshape(len(x), tables, bits) @ powers).ravel() if bits else np.zeros(len(x) * tables, np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * tables, pa.int32()), pa.array(code, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([own.column(0), lists, pa.array([r.tobytes() for r in sign], pa.binary())], ["id", "codes", "sign"])
+
+    return vectors.mapInArrow(run, "id long, codes array<long>, sign binary")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by a power of two first, so no square over- or underflows that matters."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, missed: float = MISSED, bits: int | None = None, signs: bool = True) -> DataFrame:
     """Links of cosine >= threshold (in double precision) and their components.
 
     Returns a row per row of vectors: (id_col, n_links long: other rows linked directly, component_id long:
-    smallest id reachable, kept boolean). Vectors that are null, zero or hold null or non-finite
-    components, or are of another length than most, are linked with nothing. Rows with a null id are
-    linked with nothing and kept. Equal vectors are one class, and its size counts for each link.
-    Other columns are ignored.
-
-    A pair is counted in the first table that brings it together, so no list of pairs is made: each
-    unit of work returns, for each of its members, how many it links to and a representative.
+    smallest id reachable, kept boolean). Vectors that are null, empty, zero or hold null or non-finite
+    components are linked with nothing; so are vectors of different lengths with each other. Rows with
+    a null id are linked with nothing and kept. Rows that share an id are one node with several vectors:
+    links of each tie it, n_links is each row's own. Equal vectors are one class, whose size counts for
+    each link. Other columns are ignored.
+
+    What is returned is exact; a pair at the threshold is not found with probability missed by the
+    tables and 1e-9 by the second code (signs=False leaves that out). bits=0 compares all pairs of a
+    length. A pair is counted in the first table that brings it together, so no list of pairs is made.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable(vector_col), F.col(vector_col).cast("array<double>")).alias("vec"))
-    good = rows.where("vec is not null and id is not null")
-    good = good.where(F.size("vec") == common_length(good, "vec"))
-    classes = cut(good.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "classes")
-    coded = cut(codes(classes.select("id", "vec")), "codes")
-    width = BITS // 8
-    spread = coded.select("id", F.substring("codes", 1, SIGNED // 8).alias("sign"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TABLES - 1)), lambda t: F.conv(F.hex(F.substring(F.col("codes"), t * width + 1, F.lit(width))), 16, 10).cast("int"))).alias("t", "c")).select((F.col("t") * (1 << BITS) + F.col("c")).alias("key"), "id", "sign")
+    given = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable(vector_col), F.col(vector_col).cast("array<double>")).alias("vec"))
+    rows = cut(given.select(F.monotonically_increasing_id().alias("row"), "*"), "vectors")
+    keys = ["dim", "d1", "d2"]
+    good = rows.where("vec is not null and id is not null").select("row", "id", F.size("vec").alias("dim"), F.xxhash64("vec").alias("d1"), F.xxhash64(F.lit(1), F.col("vec")).alias("d2"))
+    classes = cut(good.groupBy(*keys).agg(F.min("id").alias("first"), F.min("row").alias("rep"), F.count("*").alias("members")), "classes")
+    n, total = classes.agg(F.count("*"), F.coalesce(F.sum("members"), F.lit(0))).first()
+    tables, bits = (1, 0) if bits == 0 else plan(n, threshold, missed) if bits is None else (math.ceil(math.log(missed) / math.log1p(-((1 - math.acos(threshold) / math.pi) ** bits))), bits)
+    reps = rows.join(classes.select(F.col("rep").alias("row"), "first", F.col("members").alias("weight")), "row").select(F.col("row").alias("id"), "vec", "first", "weight")
+    coded = cut(codes(reps.select("id", "vec"), tables, bits), "codes")
+    spread = coded.join(reps.select("id", F.size("vec").alias("dim")), "id").select("id", "sign", "dim", F.posexplode("codes").alias("t", "c")).select(F.xxhash64("dim", "t", "c").alias("key"), "t", "id", "sign")
     full = spread.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    most = most_differing(threshold)
+    most = most_differing(threshold) if signs else SIGNED
+    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * tables // 200_000)
 
     def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, id) of what has another member of its unit with few other bits."""
-        for unit in runs(batches):
-            part, i, j = unit["part"].to_numpy(), unit["i"][0].as_py(), unit["j"][0].as_py()
-            ids, sign = unit["id"].to_numpy(), np.frombuffer(b"".join(unit["sign"].to_pylist()), np.uint64).reshape(len(unit), -1)
-            a, b = (np.flatnonzero(part == i), np.flatnonzero(part == j))
-            differ = np.bitwise_count(sign[a][:, None, :] ^ sign[b][None, :, :]).sum(2, dtype=np.int64) <= most
-            if i == j:
-                np.fill_diagonal(differ, False)
-            hit = np.zeros(len(unit), bool)
-            hit[a] |= differ.any(1)
-            hit[b] |= differ.any(0)
+        for some in groups(batches):
+            sign = np.frombuffer(b"".join(some["sign"].to_pylist()), np.uint64).reshape(len(some), -1)
+            hit = np.zeros(len(some), bool)
+            for a, b in pairs(some, PAIRS * 4):
+                near = np.bitwise_count(sign[a] ^ sign[b]).sum(1, dtype=np.int64) <= most
+                hit[a[near]] = hit[b[near]] = True
             if hit.any():
-                yield pa.RecordBatch.from_pydict({"key": unit["key"].to_numpy()[hit], "id": ids[hit]})
+                yield pa.RecordBatch.from_pydict({c: some[c].to_numpy()[hit] for c in ("key", "t", "id")})
+
+    def dealt(live: DataFrame, *more: str) -> DataFrame:
+        # few bytes and much work, so the number of tasks goes by rows
+        return units(live, PART).repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j", "part").select("key", "i", "j", "part", "id", "t", *more)
 
-    dealt = units(spread.join(full, "key"), PART)
-    kept = cut(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "part", "id", "sign").mapInArrow(hopeful, "key int, id long").distinct(), "hopeful")
-    members = kept.groupBy("key").agg(F.count("*").alias("members"))
-    heavy = coded.join(kept.select("id").distinct(), "id", "left_semi").join(classes, "id").select("id", "vec", "codes", "weight")
-    live = units(kept.join(members, "key").join(heavy, "id"), PART)
+    kept = cut(dealt(spread.join(full, "key"), "sign").mapInArrow(hopeful, "key long, t int, id long").distinct(), "hopeful")
+    again = kept.groupBy("key").agg(F.count("*").alias("members"))
+    heavy = reps.join(coded.drop("sign"), "id").join(kept.select("id").distinct(), "id", "left_semi")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, n, root): links first found in this table, and the smallest id tied to it within the unit."""
-        for unit in runs(batches):
-            table = unit["key"][0].as_py() >> BITS
-            part, i, j = unit["part"].to_numpy(), unit["i"][0].as_py(), unit["j"][0].as_py()
-            ids, weight = unit["id"].to_numpy(), unit["weight"].to_numpy()
-            x = matrix(unit["vec"])
-            x = x / np.sqrt((x * x).sum(1, keepdims=True))
-            code = np.frombuffer(b"".join(unit["codes"].to_pylist()), f"u{width}").reshape(len(unit), TABLES)
-            a, b = (np.flatnonzero(part == i), np.flatnonzero(part == j))
-            link = x[a] @ x[b].T >= threshold
-            if i == j:
-                np.fill_diagonal(link, False)
-            counted = link.copy()
-            for t in range(table):
-                if not counted.any():
-                    break
-                counted &= code[a, t][:, None] != code[b, t][None, :]
-            n = np.zeros(len(unit), np.int64)
-            n[a] += counted @ weight[b]
-            if i != j:
-                n[b] += counted.T @ weight[a]
-            root = ids.copy()
-            while True:  # smallest id over links, to the end of each chain within the unit
-                old = root.copy()
-                some = link.any(1)
-                if some.any():
-                    root[a[some]] = np.minimum(root[a[some]], np.where(link[some], root[b][None, :], np.iinfo(np.int64).max).min(1))
-                some = link.any(0)
-                if some.any():
-                    root[b[some]] = np.minimum(root[b[some]], np.where(link[:, some], root[a][:, None], np.iinfo(np.int64).max).min(0))
-                if (old == root).all():
-                    break
-            out = (n > 0) | (root != ids)
-            if out.any():
-                yield pa.RecordBatch.from_pydict({"id": ids[out], "n": n[out], "root": root[out]})
-
-    found = live.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "part", "id", "vec", "codes", "weight").mapInArrow(linked, "id long, n long, root long")
-    found = cut(found.groupBy("id", "root").agg(F.sum("n").alias("n")), "found")
-    tied = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    known = classes.join(counts, "id", "left").join(tied.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select("vec", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
-    ids = good.join(known, "vec").select("id", "n", "component")
-    rest = rows.where("id is not null").join(ids.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
-    none = rows.where("id is null").select("id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("component"))
-    every = ids.unionByName(rest).unionByName(none)
+        """(id, first, n, root): links first found in this table, and the smallest first tied to it within the unit."""
+        for batch in groups(batches):
+            for some in by_length(batch, batch.column_names.index("vec")):
+                x, code = _unit(matrix(some["vec"])), matrix(some["codes"], np.int64)
+                first, weight, table = (some[c].to_numpy() for c in ("first", "weight", "t"))
+                n, found = np.zeros(len(some), np.int64), []
+                for a, b in pairs(some, PAIRS, DENSE, lambda a, b: x[a] @ x[b].T >= threshold):
+                    if a is None:
+                        a, b = b
+                    else:
+                        link = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
+                        a, b = a[link], b[link]
+                    for k in range(0, len(a), PAIRS):
+                        p, q = a[k : k + PAIRS], b[k : k + PAIRS]
+                        new = (code[p] == code[q]).argmax(1) == table[p]
+                        n += np.bincount(p[new], weight[q[new]], len(n)).astype(np.int64) + np.bincount(q[new], weight[p[new]], len(n)).astype(np.int64)
+                    found.append((a, b))
+                if not found:
+                    continue
+                a, b = (np.concatenate([f[k] for f in found]) for k in range(2))
+                root = first.copy()
+                while True:  # the smallest first over links, to the end of each chain within a unit
+                    old = root.copy()
+                    np.minimum.at(root, a, old[b])
+                    np.minimum.at(root, b, old[a])
+                    if (old == root).all():
+                        break
+                out = (n > 0) | (root != first)
+                if out.any():
+                    yield pa.RecordBatch.from_pydict({"id": some["id"].to_numpy()[out], "first": first[out], "n": n[out], "root": root[out]})
+
+    found = dealt(kept.join(again, "key").join(heavy, "id"), "vec", "codes", "first", "weight").mapInArrow(linked, "id long, first long, n long, root long")
+    found = cut(found.groupBy("id", "first", "root").agg(F.sum("n").alias("n")), "found")
+    edges = found.select(F.col("first").alias("a"), F.col("root").alias("b"))
+    # an id with vectors of several classes ties them
+    several = cut(good.groupBy("id").agg(F.count("*").alias("members"), F.min(F.struct(*keys)).alias("lo"), F.max(F.struct(*keys)).alias("hi")).where("lo <> hi").select("id", "members"), "several")
+    if not several.isEmpty():
+        of_several = join_spread(good.select("id", *keys), several, ["id"], total).drop("members")
+        edges = edges.unionByName(join_spread(of_several, classes.select(*keys, "first", "members"), keys, total).select(F.col("id").alias("a"), F.col("first").alias("b")))
+    tied = components(edges).withColumnRenamed("node", "first")
+    counts = found.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n"))
+    known = classes.join(counts, "rep", "left").join(tied, "first", "left").select(*keys, "members", (F.coalesce("n", F.lit(0)) + F.col("members") - 1).alias("n"), F.coalesce("component", "first").alias("component"))
+    own = join_spread(good.select("id", *keys), cut(known, "known"), keys, total).select("id", "n", "component")
+    rest = rows.where("vec is null or id is null").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
+    every = own.unionByName(rest)
     return every.select(F.col("id").alias(id_col), F.col("n").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))

@@ -20,7 +20,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _fold(n: int) -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n)) == 2
+    """Whether a row is held out; one with a null id is not."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n)) == 2, F.lit(False))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
@@ -90,9 +91,9 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, centre = ann.build_index(_table(spark, sf_dir, "embeddings"))
-    asked = index.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
-    return ann.search(index, centre, asked)
+    index = ann.build_index(_table(spark, sf_dir, "embeddings"))
+    asked = index.rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query"), F.col("row").alias("own"))
+    return ann.search(index, asked)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

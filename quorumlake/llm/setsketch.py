@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import cut, map_file, new_folder, write_file
-from .units import runs, units
+from .components import components, join_spread
+from .shared import cut, map_file, new_folder, writing
+from .units import groups, pairs, units
 from .words import mix, shingle_sets
 
 BANDS, ROWS = 32, 5
@@ -32,8 +32,10 @@ _FLIP = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2)
 _ODD = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Members of a bucket that are compared with each other at once.
 PART_OF_BUCKET = 512
-#: Set elements worked on at once.
-PART = 1 << 15
+#: Set elements worked on at once, and pairs.
+PART, PAIRS = 1 << 15, 8192
+#: Bytes of full sets in a part of their store, at most about, and at least where there are fewer parts than the session shuffles into.
+MOST_BYTES, LEAST_BYTES = 64 << 20, 4 << 20
 
 
 def registers(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -85,6 +87,17 @@ def lowest_estimate(threshold: float) -> float:
     return threshold - 5.2 * math.sqrt(threshold * (1 - threshold) / REGISTERS)
 
 
+def _digests(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """128 bits that tell sets apart, as two rows; 0 for empty sets."""
+    out = np.zeros((2, len(sizes)), np.uint64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        at = (np.cumsum(sizes) - sizes)[full]
+        for k in range(2):
+            out[k, full] = np.add.reduceat(mix(elements ^ np.uint64(0x5851F42D4C957F2D * (k + 1) % 2**64)), at)
+    return out.view(np.int64)
+
+
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """docs: (id long, text). Returns (id, n, d1, d2, regs): set size, 128 bits that tell sets apart, registers (null if empty)."""
 
@@ -94,15 +107,11 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 part = batch.slice(i, 1000)
                 elements, sizes = shingle_sets(part.column(1), shingle)
                 full = np.flatnonzero(sizes)
-                digests = np.zeros((2, len(part)), np.uint64)
                 regs: list[bytes | None] = [None] * len(part)
                 if len(full):
-                    at = (np.cumsum(sizes) - sizes)[full]
-                    for k in range(2):
-                        digests[k, full] = np.add.reduceat(mix(elements ^ np.uint64(0x5851F42D4C957F2D * (k + 1) % 2**64)), at)
                     for d, r in zip(full, registers(elements, sizes[full]).astype(">u2"), strict=True):
                         regs[d] = r.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), pa.array(regs, pa.binary())], ["id", "n", "d1", "d2", "regs"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *map(pa.array, _digests(elements, sizes)), pa.array(regs, pa.binary())], ["id", "n", "d1", "d2", "regs"])
 
     return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, regs binary")
 
@@ -133,29 +142,50 @@ def _mapped(folder: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return _opened[folder, part]
 
 
-def store_sets(docs: DataFrame, shingle: int) -> Sets:
-    """docs: (id long, text), ids not null. Writes each part's sets in the order of ids."""
+def store_sets(docs: DataFrame, shingle: int, elements: int) -> Sets:
+    """docs: (id long, text), ids not null; elements: how many their sets have in all. Writes each part's sets in the order of ids.
+
+    The number of parts follows from the elements; a part is written as its rows come, so no task holds one.
+    """
     spark = docs.sparkSession
-    sets = Sets(new_folder(spark, "sets"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(-(-8 * elements // MOST_BYTES), min(-(-8 * elements // LEAST_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))), 1)
+    sets = Sets(new_folder(spark, "sets"), parts)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # of a repeated row each partition sends one
         for batch in batches:
             for i in range(0, len(batch), 1000):
                 part = batch.slice(i, 1000)
                 elements, sizes = shingle_sets(part.column(1), shingle)
-                ends = np.cumsum(sizes)
-                to = (mix(part.column(0).to_numpy().view(np.uint64)) % np.uint64(sets.parts)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(to), part.column(0), pa.array([elements[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())], ["part", "id", "elements"])
-
-    def written(table: pa.Table) -> pa.Table:
-        k, table = table["part"][0].as_py(), table.sort_by("id")
-        own = table["elements"].to_pylist()
-        write_file(f"{sets.folder}/ids-{k}", table["id"].to_numpy().astype("<i8").tobytes())
-        write_file(f"{sets.folder}/ends-{k}", np.cumsum([len(e) // 8 for e in own]).astype("<i8").tobytes())
-        write_file(f"{sets.folder}/elements-{k}", b"".join(own))
-        return pa.table({"part": pa.array([k], pa.int32())})
-
-    docs.mapInArrow(made, "part int, id long, elements binary").groupBy("part").applyInArrow(written, "part int").collect()  # a number for each part
+                ends, ids = np.cumsum(sizes), part.column(0).to_numpy()
+                to = (mix(ids.view(np.uint64)) % np.uint64(sets.parts)).astype(np.int32)
+                names = list(zip(ids.tolist(), *_digests(elements, sizes).tolist(), strict=True))
+                new = [k for k, name in enumerate(names) if name not in seen and not seen.add(name)]
+                yield pa.RecordBatch.from_arrays([pa.array(to[new]), pa.array(ids[new]), pa.array([elements[ends[k] - sizes[k] : ends[k]].tobytes() for k in new], pa.binary())], ["part", "id", "elements"])
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def own():
+            for batch in batches:
+                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)
+
+        from itertools import groupby
+
+        for k, rows in groupby(own(), lambda r: r[0]):
+            ids, ends, end = [], [], 0
+            with writing(f"{sets.folder}/elements-{k}") as f:
+                for _, id_, blob in rows:
+                    data = blob.as_buffer()
+                    f.write(data)
+                    end += data.size // 8
+                    ids.append(id_)
+                    ends.append(end)
+            for name, values in (("ids", ids), ("ends", ends)):
+                with writing(f"{sets.folder}/{name}-{k}") as f:
+                    f.write(np.array(values, "<i8").tobytes())
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32())})
+
+    rows = docs.mapInArrow(made, "part int, id long, elements binary").repartition(parts, "part").sortWithinPartitions("part", "id")
+    rows.mapInArrow(written, "part int").agg(F.count("*")).first()
     return sets
 
 
@@ -173,66 +203,67 @@ def _as_registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u2").astype(np.uint16).reshape(len(column), REGISTERS)
 
 
-def confirmed(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, nx: np.ndarray, ny: np.ndarray, sets: Sets, percent: int) -> np.ndarray:
-    """Which of the pairs are links: by estimate, then by their full sets."""
-    ok = estimate(rx, ry, nx.astype(np.float64), ny.astype(np.float64)) >= lowest_estimate(percent / 100)
+def confirmed(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, nx: np.ndarray, ny: np.ndarray, sets: Sets, percent: int, estimated: bool) -> np.ndarray:
+    """Which of the pairs are links: by estimate, if wanted, then by their full sets."""
+    ok = estimate(rx, ry, nx.astype(np.float64), ny.astype(np.float64)) >= lowest_estimate(percent / 100) if estimated else np.ones(len(x), bool)
     for k in np.flatnonzero(ok):
         ok[k] = any(alike(a, b, percent) for a in sets.of(int(x[k])) for b in sets.of(int(y[k])))
     return ok
 
 
-def _stars(pairs: DataFrame, cards: DataFrame, sets: Sets, percent: int) -> DataFrame:
-    """The links among the pairs (x, y)."""
+def _stars(proposed: DataFrame, cards: DataFrame, sets: Sets, percent: int, estimated: bool) -> DataFrame:
+    """The links among the proposed pairs (x, y)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 x, y, nx, ny = (batch.column(c).to_numpy() for c in (0, 1, 4, 5))
-                yield batch.select([0, 1]).filter(pa.array(confirmed(x, y, _as_registers(batch.column(2)), _as_registers(batch.column(3)), nx, ny, sets, percent)))
+                yield batch.select([0, 1]).filter(pa.array(confirmed(x, y, _as_registers(batch.column(2)), _as_registers(batch.column(3)), nx, ny, sets, percent, estimated)))
 
     one, two = (cards.select(F.col("rep").alias(c), F.col("regs").alias(f"r{c}"), F.col("n").alias(f"n{c}")) for c in "xy")
-    return pairs.join(one, "x").join(two, "y").select("x", "y", "rx", "ry", "nx", "ny").mapInArrow(run, "x long, y long")
+    return proposed.join(one, "x").join(two, "y").select("x", "y", "rx", "ry", "nx", "ny").mapInArrow(run, "x long, y long")
 
 
-def _across(now: DataFrame, cards: DataFrame, sets: Sets, percent: int) -> DataFrame:
-    """now: (key, band, rep, component, members). The links between members of a bucket in different components.
+def _across(now: DataFrame, rows: int, cards: DataFrame, sets: Sets, percent: int, estimated: bool) -> DataFrame:
+    """now: (key, band, rep, component, members); rows: how many its units will have. The links between members of a bucket in different components.
 
     A bucket is dealt into parts and each pair of parts is one unit of work; only links leave it. A pair
     is looked at in the first band that brings it together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in runs(batches):
-            band, part, i, j = unit["band"][0].as_py(), unit["part"].to_numpy(), unit["i"][0].as_py(), unit["j"][0].as_py()
-            reps, tied, n = unit["rep"].to_numpy(), unit["component"].to_numpy(), unit["n"].to_numpy()
-            regs = _as_registers(unit["regs"])
-            a, b = (np.flatnonzero(part == i), np.flatnonzero(part == j))
-            apart = tied[a][:, None] != tied[b][None, :]
-            if i == j:
-                apart &= reps[a][:, None] < reps[b][None, :]
-            p, q = np.nonzero(apart)
-            p, q = a[p], b[q]
-            for k in range(0, len(p), 8192):
-                x, y = p[k : k + 8192], q[k : k + 8192]
-                first = (regs[x] == regs[y]).reshape(len(x), BANDS, ROWS).all(2).argmax(1) == band
-                x, y = x[first], y[first]
-                ok = confirmed(reps[x], reps[y], regs[x], regs[y], n[x], n[y], sets, percent)
-                if ok.any():
-                    yield pa.RecordBatch.from_pydict({"x": reps[x[ok]], "y": reps[y[ok]]})
-
-    rows = units(now.join(cards, "rep").withColumnRenamed("rep", "id"), PART_OF_BUCKET).withColumnRenamed("id", "rep")
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        for some in groups(batches):
+            reps, tied, n, band = (some[c].to_numpy() for c in ("rep", "component", "n", "band"))
+            regs = _as_registers(some["regs"])
+            for a, b in pairs(some, 64 * PAIRS):
+                apart = tied[a] != tied[b]
+                a, b = a[apart], b[apart]
+                for k in range(0, len(a), PAIRS):
+                    x, y = a[k : k + PAIRS], b[k : k + PAIRS]
+                    first = (regs[x] == regs[y]).reshape(len(x), BANDS, ROWS).all(2).argmax(1) == band[x]
+                    x, y = x[first], y[first]
+                    ok = confirmed(reps[x], reps[y], regs[x], regs[y], n[x], n[y], sets, percent, estimated)
+                    if ok.any():
+                        yield pa.RecordBatch.from_pydict({"x": reps[x[ok]], "y": reps[y[ok]]})
+
+    # few bytes and much work, so the number of tasks goes by rows
+    tasks = max(int(now.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // 20_000)
+    live = units(now.join(cards, "rep").withColumnRenamed("rep", "id"), PART_OF_BUCKET).withColumnRenamed("id", "rep")
+    dealt = live.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j", "part")
     return dealt.select("key", "i", "j", "part", "band", "rep", "component", "n", "regs").mapInArrow(run, "x long, y long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, estimated: bool = True) -> DataFrame:
     """Components of documents linked by 100 * intersection >= percent * union of their sets of word shingles.
 
     Returns a row per row of docs: (id_col, n_shingles long, component_id long, kept boolean). The
     component is the smallest id reachable; kept marks the row that has this id. Documents without
     words (null text included) are linked with nothing. Rows with a null id are linked with nothing
-    and kept, component null. Rows that share an id are one node with several texts.
-    Extra columns are ignored.
+    and kept, component null. Rows that share an id are one node with several texts: links of each
+    tie it, and n_shingles is each row's own. Extra columns are ignored.
+
+    Links are exact. A pair at the threshold shares no band with probability 3e-6 (at 80 percent), and
+    its estimate is too low once in some millions; estimated=False compares the full sets of all pairs of a bucket.
 
     Equal sets are one class. Within a bucket of a band, classes are first compared with two of
     its members; what is then still in different components is compared block by block, so large
@@ -240,36 +271,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     seen = cut(sketches(texts, shingle), "sketches")
+    keys = ["d1", "d2", "n"]
     full = seen.where("n > 0 and id is not null")
-    classes = full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.first("regs").alias("regs"))
+    classes = cut(full.groupBy(*keys).agg(F.min("id").alias("rep"), F.first("regs").alias("regs"), F.count("*").alias("members")), "classes")
     size = 2 * ROWS
     bands = classes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * size + 1, F.lit(size))))).alias("band", "key"))
     hubs = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("hub"), F.min_by("rep", F.xxhash64("rep")).alias("other")).where("members > 1").drop("members")
     live = cut(bands.join(hubs, "key"), "buckets")
     wanted = live.select("rep").distinct()
     cards = cut(classes.join(wanted, "rep", "left_semi").select("rep", "n", "regs"), "cards")
-    sets = store_sets(texts.join(wanted.withColumnRenamed("rep", "id"), "id", "left_semi"), shingle)
-
-    def tied(links: DataFrame) -> DataFrame:
-        return cut(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components")
+    sets = store_sets(texts.join(wanted.withColumnRenamed("rep", "id"), "id", "left_semi"), shingle, cards.agg(F.sum("n")).first()[0] or 0)
 
     def stars(hub: str) -> DataFrame:
         return live.where(f"rep <> {hub}").select(F.col("rep").alias("x"), F.col(hub).alias("y"))
 
+    # an id with texts of several classes ties them
+    total = full.count()
+    several = cut(full.groupBy("id").agg(F.count("*").alias("members"), F.min(F.struct(*keys)).alias("lo"), F.max(F.struct(*keys)).alias("hi")).where("lo <> hi").select("id", "members"), "several")
     # first each class against two of its bucket, then all that is in one bucket and still apart
-    links = cut(_stars(stars("hub").unionByName(stars("other")).distinct(), cards, sets, percent), "links")
+    links = _stars(stars("hub").unionByName(stars("other")).distinct(), cards, sets, percent, estimated)
+    if not several.isEmpty():
+        of_several = join_spread(full.select("id", *keys), several, ["id"], total).drop("members")
+        links = links.unionByName(join_spread(of_several, classes.select(*keys, "rep", "members"), keys, total).select(F.col("id").alias("x"), F.col("rep").alias("y")))
+    links = cut(links, "links")
+
+    def tied(links: DataFrame) -> DataFrame:
+        return cut(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components")
+
     found = tied(links)
     now = live.select("key", "band", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
-    apart = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("key", "members")
-    more = cut(_across(now.join(apart, "key"), cards, sets, percent).distinct(), "links")
+    apart = cut(now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("key", "members"), "apart")
+    rows = apart.agg(F.sum(F.col("members") * F.ceil(F.col("members") / PART_OF_BUCKET))).first()[0] or 0
+    more = cut(_across(now.join(apart, "key"), rows, cards, sets, percent, estimated).distinct(), "links")
     if not more.isEmpty():
         found = tied(links.unionByName(more))
-    first = full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    first = first.select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
-    members = seen.drop("regs").join(first, ["d1", "d2", "n"], "left")
-    return members.select(
+    first = classes.drop("regs").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, "members", F.coalesce("component", "rep").alias("component"))
+    members = join_spread(full.select("id", *keys), cut(first, "classes"), keys, total).select("id", "n", "component")
+    rest = seen.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
+    return members.unionByName(rest).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
-        F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"),
     )

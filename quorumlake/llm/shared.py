@@ -85,21 +85,28 @@ def local_path(path: str) -> str | None:
     return u.path if u.scheme in ("", "file") else None
 
 
-def write_file(path: str, data: bytes) -> None:
-    """Write whole or not at all, so that a task that runs twice does no harm."""
+@contextlib.contextmanager
+def writing(path: str):
+    """A file object; what is written stands at path when the block ends, whole or not at all, so that a task that runs twice does no harm."""
+    own = uuid.uuid4().hex
     if (at := local_path(path)) is not None:
         os.makedirs(os.path.dirname(at), exist_ok=True)
-        with open(own := f"{at}.{uuid.uuid4().hex}", "wb") as f:
-            f.write(data)
-        os.replace(own, at)
+        with open(f"{at}.{own}", "wb") as f:
+            yield f
+        os.replace(f"{at}.{own}", at)
         return
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(path)
     store.create_dir(os.path.dirname(at), recursive=True)
-    with store.open_output_stream(own := f"{at}.{uuid.uuid4().hex}") as f:
+    with store.open_output_stream(f"{at}.{own}") as f:
+        yield f
+    store.move(f"{at}.{own}", at)
+
+
+def write_file(path: str, data: bytes) -> None:
+    with writing(path) as f:
         f.write(data)
-    store.move(own, at)
 
 
 def file_exists(path: str) -> bool:

@@ -193,6 +193,21 @@ def test_near_duplicates_odd(spark, odd):
     assert len(rows) == len(ODD)
     assert {(r["doc_id"], r["component_id"], r["kept"]) for r in rows} == {(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 4, False), (None, None, True), (7, 7, True), (8, 8, True)}
     assert setsketch.near_duplicates(odd.limit(0)).count() == 0
+    base, other = [" ".join(f"w{k + j}" for k in range(60)) for j in (0, 500)]
+    rows = [(3, base), (5, other), (7, base + " x"), (7, other + " y"), (7, other + " y"), (9, other), (8, "z")] + [(30, "hot row")] * 300 + [(31, "hot row")]
+    got = {(r["doc_id"], r["component_id"]) for r in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 3), (5, 3), (7, 3), (9, 3), (8, 8), (30, 30), (31, 30)}
+
+
+def test_near_duplicates_in_parts(spark, monkeypatch):
+    """Buckets larger than a part: chains of texts of which each is only like its neighbours."""
+    monkeypatch.setattr(setsketch, "PART_OF_BUCKET", 8)
+    rows = [(100 * c + i, " ".join(f"c{c}w{k}" for k in range(3 * i, 3 * i + 100))) for c in range(3) for i in range(40)]
+    sets = {i: shingles(t, 1) for i, t in rows}
+    want = roots(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    for estimated in (True, False):
+        got = {r[0]: r["component_id"] for r in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1, estimated=estimated).collect()}
+        assert got == want
 
 
 def test_language_model(spark, sf):
@@ -376,33 +391,88 @@ def test_large_buckets(spark, monkeypatch):
     rng = np.random.default_rng(0)
     centre = rng.normal(0, 1, 16)
     rows = [(i, (centre + rng.normal(0, 0.3, 16)).tolist()) for i in range(150)]
-    monkeypatch.setattr(embed_dedup, "PART", 32)
     x = np.array([v for _, v in rows])
     x /= np.linalg.norm(x, axis=1)[:, None]
     want = (x @ x.T >= 0.9).sum(1) - 1
-    got = {r[0]: r[1] for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-    assert sum(got[i] != w for i, w in enumerate(want)) <= 2
+    for part, dense, how in ((32, 8, {}), (1024, 8, {}), (32, 10_000, {"bits": 0, "signs": False})):
+        monkeypatch.setattr(embed_dedup, "PART", part)
+        monkeypatch.setattr(embed_dedup, "DENSE", dense)
+        got = {r[0]: r[1] for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), **how).collect()}
+        assert sum(got[i] != w for i, w in enumerate(want)) <= (0 if how else 2)
+
+
+def test_near_vectors_odd(spark):
+    """Lengths apart, huge and tiny components, ids that several rows have, rows that are there twice."""
+    rows = [(3, [1e200, 1e190]), (4, [2e200, 1e190]), (5, None), (5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (6, [0.0, 2.0, 0.0]), (6, [0.0, 2.0, 0.0]), (7, [3.0, 0.0, 0.1]), (8, [1e-200, 0.0, 0.0, 1e-200]), (9, [1e-300, 0.0, 0.0, 1e-300]), (10, [1.0]), (11, [4.0]), (12, [-1.0]), (13, []), (None, [1.0]), (14, [1e308, 1e308, 1e308, 1e308, 1e308]), (15, [1e-308, 1e-308, 1e-308, 1e-308, 1e-308]), (16, [0.0]), (17, [-0.0, 1.0]), (18, [0.0, 1.0])]
+    got = sorted(map(tuple, embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "vec_id row", "1 key", "2 first")).collect()), key=str)
+    want = [(3, 1, 3), (4, 1, 3), (5, 0, 5), (5, 1, 5), (5, 2, 5), (6, 2, 5), (6, 2, 5), (7, 1, 5), (8, 1, 8), (9, 1, 8), (10, 1, 10), (11, 1, 10), (12, 0, 12), (13, 0, 13), (None, 0, None), (14, 1, 14), (15, 1, 14), (16, 0, 16), (17, 1, 17), (18, 1, 17)]
+    assert got == sorted(((i, n, c, c is None or c == i) for i, n, c in want), key=str)
+
+
+def test_spread_join(spark):
+    rows = spark.range(3000).selectExpr("if(id < 1000, 0, id) k", "id v")
+    one = rows.groupBy("k").agg(F.count("*").alias("members"), F.max("v").alias("m")).where("k % 2 = 0")
+    got = components.join_spread(rows, one, ["k"], 3000).collect()
+    assert sorted((r["k"], r["v"], r["m"]) for r in got) == sorted((0 if i < 1000 else i, i, 999 if i < 1000 else i) for i in range(3000) if i < 1000 or i % 2 == 0)
+
+
+def dot(v, w):
+    """From the first coordinate to the last; sum() would compensate."""
+    total = 0.0
+    for p, q in zip(v, w, strict=True):
+        total += p * q
+    return total
+
+
+def nearest(rows, k=20):
+    """By brute force: {place of the query: [(rank, id, score)]}."""
+    out = {}
+    for a, (i, v) in enumerate(rows):
+        if i is not None and i % 20 == 0 and v:
+            found = sorted((-dot(v, w), j, b) for b, (j, w) in enumerate(rows) if b != a and j is not None and w and len(w) == len(v))
+            out[a] = [(n + 1, j, -s) for n, (s, j, _) in enumerate(found[:k])]
+    return out
+
+
+def searched(spark, rows, **how):
+    index = ann.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 block", "2 row", "'x' q"))
+    return ann.search(index, index.rows.where("id % 20 = 0").selectExpr("id query_id", "vec query", "row own"), **how).collect()
 
 
 def test_nearest(spark, sf):
-    rows = vectors(sf)
-    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
-    index, centre = ann.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    got = {}
-    for r in ann.search(index, centre, index.where("id % 20 = 0").selectExpr("id query_id", "vec query")).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    hits = 0
-    for q, found in got.items():
-        k = int(np.flatnonzero(ids == q)[0])
-        s = x @ x[k]
-        order = [j for j in np.lexsort((ids, -s)) if j != k][:20]
-        found.sort()
-        assert [f[0] for f in found] == list(range(1, 21)) and np.allclose([s[np.flatnonzero(ids == v)[0]] for _, v, _ in found], [f[2] for f in found], atol=1e-12)
-        hits += len({int(ids[j]) for j in order} & {v for _, v, _ in found})
-    assert hits / (20 * len(got)) >= 0.98 and len(got) == sum(i % 20 == 0 for i in ids.tolist())
-    small = spark.createDataFrame(VECTORS, "vec_id long, embedding array<double>")
-    index, centre = ann.build_index(small)
-    few = ann.search(index, centre, index.where("id % 20 = 0").selectExpr("id query_id", "vec query")).collect()
-    assert len(few) == 2 * 4
-    index, centre = ann.build_index(small.limit(0))
-    assert ann.search(index, centre, index.selectExpr("id query_id", "vec query")).count() == 0
+    rows = [(i, [float(y) for y in v]) for i, v in vectors(sf)]
+    want = nearest(rows)
+    for how, least in (({}, 0.95), ({"epsilon": math.inf, "reach": math.inf}, 1)):
+        got = searched(spark, rows, **how)
+        assert len(got) == sum(map(len, want.values()))
+        right = Counter((rows[a][0], *x) for a, w in want.items() for x in w)
+        hits = sum((Counter((r["query_id"], r["vec_id"], r["score"]) for r in got) & Counter((q, j, s) for q, _, j, s in right)).values())
+        assert hits >= least * len(got)
+
+
+def test_nearest_odd(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [2.0, 1.0]), (3, [-1.0, -1.0]), (None, [9.0, 9.0]), (40, [1.0]), (5, [2.0]), (60, None), (80, [0.0, 0.0, 0.0]), (7, [1.0, 1.0, 1.0]), (100, [1e200, 1e200, 1.0, 1.0]), (101, [1e100, 1.0, 1.0, 1e-300]), (102, [1e-200, 1.0, 1.0, 1.0])]
+    fine = [(i, v if v and any(v) else None) for i, v in rows]
+    want = sorted((fine[a][0], *x) for a, w in nearest(fine).items() for x in w)
+    assert sorted(map(tuple, searched(spark, rows))) == want
+    assert searched(spark, rows[:1]) == [] and searched(spark, []) == []
+
+
+def test_nearest_in_clusters(spark, monkeypatch):
+    """Many centres, blocks smaller than a cluster, several copies of a block."""
+    rng = np.random.default_rng(5)
+    mid = rng.normal(0, 3, (12, 24))
+    rows = [(int(i), (mid[i % 12] + rng.normal(0, 0.5, 24)).tolist()) for i in range(2400)]
+    for name, value in (("BLOCK", 64), ("QUERIES", 8), ("AT_ONCE", 16)):
+        monkeypatch.setattr(ann, name, value)
+    want = Counter((rows[a][0], j) for a, w in nearest(rows).items() for _, j, _ in w)
+    got = Counter((r["query_id"], r["vec_id"]) for r in searched(spark, rows))
+    assert sum((want & got).values()) >= 0.95 * sum(want.values()) and sum(got.values()) == sum(want.values())
+
+
+def test_estimates():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(0, 1, (400, 100)), rng.normal(0, 1, (50, 100))
+    value, bound = ann.estimate(y, *ann.encode(x))
+    error = value - y @ x.T
+    assert abs(error.mean()) < 0.3 and (np.abs(error) <= bound).mean() > 0.97 and error.std() < 0.8 * (y @ x.T).std()
