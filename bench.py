@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from quorumlake.plans.queries import QUERIES
+from quorumlake.plans.catalog import QUERIES
 
 HEADLINE = ("vote_breakdown", "paper_summary", "list_top", "list_search", "feed_trending", "feed_stats", "field_tags", "latest_report", "reviews_upsert", "revision_history", "user_stats", "transcripts")
 

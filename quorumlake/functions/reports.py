@@ -41,24 +41,35 @@ def _object(text: Column) -> Column:
     return F.when(bare.startswith("{"), bare).otherwise("{}")
 
 
+def _typed(raw: Column, name: str, kind: str, as_: str) -> Column:
+    """A part that is of this kind; null for any other."""
+    value = F.try_variant_get(raw, f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(value).rlike(kind), F.try_variant_get(raw, f"$.{name}", as_))
+
+
+_NUMBER = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
+
+
 def rigor_report(text: Column) -> Column:
-    """struct of overallScore, the axes (0 to 10), critique and up to six strengths and weaknesses. What is no number counts 0, text that is no JSON object too; null for JSON's null."""
-    raw = F.from_json(_object(text), ", ".join(f"{a} double" for a in AXES) + ", critique string, strengths array<string>, weaknesses array<string>")
-    axes = [clamp(raw[a], 0.0, 10.0) for a in AXES]
+    """struct of overallScore, the axes (0 to 10), critique and up to six strengths and weaknesses. What is no number counts 0, a critique that is no string is empty, text that is no JSON object counts as an empty one; null for JSON's null."""
+    raw = F.coalesce(F.try_parse_json(_object(text)), F.parse_json(F.lit("{}")))
+    axes = [clamp(_typed(raw, a, _NUMBER, "double"), 0.0, 10.0) for a in AXES]
     overall = round2((axes[0] + axes[1] + axes[2] + axes[3] + axes[4]) / 5.0)
 
     def items(name: str) -> Column:
-        return F.slice(F.coalesce(raw[name], F.array().cast("array<string>")), 1, MOST_ITEMS)
+        return F.slice(F.coalesce(_typed(raw, name, "^ARRAY", "array<string>"), F.array().cast("array<string>")), 1, MOST_ITEMS)
 
-    made = F.struct(overall.alias("overallScore"), *(x.alias(a) for a, x in zip(AXES, axes, strict=True)), F.coalesce(raw["critique"], F.lit("")).alias("critique"), items("strengths").alias("strengths"), items("weaknesses").alias("weaknesses"))
+    critique = F.coalesce(_typed(raw, "critique", "^STRING$", "string"), F.lit(""))
+    made = F.struct(overall.alias("overallScore"), *(x.alias(a) for a, x in zip(AXES, axes, strict=True)), critique.alias("critique"), items("strengths").alias("strengths"), items("weaknesses").alias("weaknesses"))
     return F.when(~is_null(text), made)
 
 
 def survey_pass(text: Column, persona: Column) -> Column:
-    """struct of persona, verdict, confidence (0 to 1), rationale."""
-    raw = F.from_json(_object(text), "verdict string, confidence double, rationale string")
-    verdict = F.when(raw["verdict"].isin(*VERDICTS), raw["verdict"]).otherwise("mixed")
-    return F.struct(persona.alias("persona"), verdict.alias("verdict"), clamp(raw["confidence"], 0.0, 1.0).alias("confidence"), F.coalesce(raw["rationale"], F.lit("")).alias("rationale"))
+    """struct of persona, verdict, confidence (0 to 1), rationale (empty if it is no string)."""
+    raw = F.coalesce(F.try_parse_json(_object(text)), F.parse_json(F.lit("{}")))
+    told = _typed(raw, "verdict", "^STRING$", "string")
+    verdict = F.when(told.isin(*VERDICTS), told).otherwise("mixed")
+    return F.struct(persona.alias("persona"), verdict.alias("verdict"), clamp(_typed(raw, "confidence", _NUMBER, "double"), 0.0, 1.0).alias("confidence"), F.coalesce(_typed(raw, "rationale", "^STRING$", "string"), F.lit("")).alias("rationale"))
 
 
 def survey(passes: Column) -> Column:

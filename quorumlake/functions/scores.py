@@ -50,3 +50,8 @@ def progress(score: Column, stage_: Column) -> Column:
 def fallback_score(length: Column, references: Column) -> Column:
     """What a paper gets where no report could be made."""
     return clamp(F.lit(4.0) + F.log10(F.greatest(length, F.lit(1)).cast("double")) + F.least(references, F.lit(6)) * 0.3, 1.0, 9.0)
+
+
+def thresholds() -> Column:
+    """The thresholds of the stages, as a constant column."""
+    return F.struct(F.lit(UNDER_REVIEW).alias("under_review"), F.lit(PROMOTED).alias("promoted"), F.lit(PUBLISHED).alias("published"))

@@ -40,6 +40,11 @@ def clean_tags(tags: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(tags, lambda t: F.lower(F.trim(t))), lambda t: t != ""))
 
 
+def remove_tag(tags: Column, tag: Column) -> Column:
+    """The tags but this one, wherever it is."""
+    return F.filter(tags, lambda t: t != tag)
+
+
 def clean_references(refs: Column) -> Column:
     """References with a citation, both parts trimmed, a blank URL null."""
     kept = F.filter(refs, lambda r: F.trim(r["citation"]) != "")
@@ -163,9 +168,14 @@ def one_decimal(x: Column) -> Column:
     return F.concat(F.floor(n / 10.0).cast("string"), F.lit("."), (n % 10).cast("string"))
 
 
-def url_with_query(path: Column, params: dict[str, Column]) -> Column:
-    """The path and its query in the order of params; null parameters are left out."""
-    given = F.array_compact(F.array(*[F.concat(F.lit(f"{name}="), F.url_encode(c.cast("string"))) for name, c in params.items()])) if params else F.array().cast("array<string>")
+def url_with_query(path: Column, params: dict[str, Column], nullable: tuple[str, ...] = ()) -> Column:
+    """The path and its query in the order of params; null parameters are left out, but for nullable ones, which are sent as null."""
+
+    def sent(name: str, c: Column) -> Column:
+        pair = F.concat(F.lit(f"{name}="), F.url_encode(c.cast("string")))
+        return F.coalesce(pair, F.lit(f"{name}=null")) if name in nullable else pair
+
+    given = F.array_compact(F.array(*[sent(name, c) for name, c in params.items()])) if params else F.array().cast("array<string>")
     return F.when(F.size(given) > 0, F.concat(path, F.lit("?"), F.array_join(given, "&"))).otherwise(path)
 
 
@@ -183,3 +193,32 @@ def error_lines(messages: Column) -> Column:
     """The messages that say something; null where there is none."""
     kept = F.filter(messages, lambda m: m.isNotNull() & (m != ""))
     return F.when(F.size(kept) > 0, kept)
+
+
+#: Fixed value: what stands where a profile says nothing of itself.
+BIO = "Citizen Scientist"
+
+
+def bio_or_default(bio: Column) -> Column:
+    return F.coalesce(F.when(bio != "", bio), F.lit(BIO))
+
+
+def month_label(at: Column) -> Column:
+    """The month's short English name."""
+    names = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+    return F.get(F.array(*map(F.lit, names)), F.month(at) - 1)
+
+
+def grouped_number(n: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(n, 0)
+
+
+def score_label(score: Column) -> Column:
+    """A score with its scale, which is ten."""
+    return F.concat(one_decimal(score), F.lit(" / 10"))
+
+
+def shown_entries(entries: Column) -> Column:
+    """The entries of a chart but those of type none."""
+    return F.filter(entries, lambda e: F.coalesce(e["type"] != "none", F.lit(True)))

@@ -9,15 +9,28 @@ from pyspark.sql import functions as F
 
 from quorumlake.functions import reports, scores, text
 from quorumlake.operators.writes import upsert
-from quorumlake.streaming.sse import retrying_map
+from quorumlake.streaming.sse import rate_limited, retrying_map
 
 _RIGOR = "Judge the rigor of this submission. Answer with one JSON object of " + ", ".join(reports.AXES) + " (0 to 10), critique, strengths and weaknesses (lists)."
 _SURVEY = "Answer with one JSON object of verdict (endorse, mixed or reject), confidence (0 to 1) and rationale."
 
 
+#: The headings of a paper's text and what stands for missing tags.
+HEADINGS = ("Title: ", "\nFields: ", "\n\nAbstract:\n", "\n\nBody:\n", "\n\nReferences:\n")
+UNSPECIFIED = "(unspecified)"
+
+
+def paper_text() -> Column:
+    """A paper as the model reads it, part by part under headings; a null part is empty."""
+    tags = F.concat_ws(", ", "fields")
+    references = F.coalesce(text.reference_lines(F.col("references")), F.lit("(none provided)"))
+    parts = [F.col("title"), F.when(tags != "", tags).otherwise(UNSPECIFIED), F.col("abstract"), F.col("body"), references]
+    return F.concat(*[x for h, p in zip(HEADINGS, parts, strict=True) for x in (F.lit(h), F.coalesce(p, F.lit("")))])
+
+
 def questions(papers: DataFrame) -> DataFrame:
     """(index: id and number, payload): six questions a paper, the first for the report and one for each persona."""
-    paper = F.concat_ws("\n\n", "title", F.concat_ws(", ", "fields"), "abstract", "body", text.reference_lines(F.col("references")))
+    paper = paper_text()
     asks = [_RIGOR, *(f"You are {name}: {brief}. {_SURVEY}" for name, brief in reports.PERSONAS.items())]
     asked = F.posexplode(F.array(*map(F.lit, asks))).alias("k", "ask")
     return papers.select("id", paper.alias("paper"), asked).select(F.struct("id", "k").alias("index"), F.concat("ask", F.lit("\n\n"), "paper").alias("payload"))
@@ -27,12 +40,13 @@ def _waiting(base: Column, references: Column) -> tuple[Column, Column]:
     """(report, survey) where the model could not be reached."""
     cited = scores.clamp(base + F.when(references >= 3, 1.0).otherwise(-1.0), 0.0, 10.0)
     axes = [(cited if a == "citationsScore" else base).alias(a) for a in reports.AXES]
+    # What stands where nothing could be said
     told = [F.lit("AI service unavailable — heuristic placeholder. Re-run analysis when service recovers.").alias("critique"), F.array(F.lit("Submission accepted into the queue")).alias("strengths"), F.array(F.lit("AI critique pending")).alias("weaknesses")]
     passes = F.array(*[F.struct(F.lit(p).alias("persona"), F.lit("mixed").alias("verdict"), F.lit(0.5).alias("confidence"), F.lit("Pending.").alias("rationale")) for p in reports.PERSONAS])
     return F.struct(scores.round2(base).alias("overallScore"), *axes, *told), F.struct(F.lit(0.5).alias("confidence"), F.lit(reports.CONSENSUS["waiting"]).alias("consensus"), passes.alias("passes"))
 
 
-def make_reports(papers: DataFrame, call: Callable[[str], str], at: Column, retryable: Callable[[str], bool] = lambda message: "429" in message, **waits) -> DataFrame:
+def make_reports(papers: DataFrame, call: Callable[[str], str], at: Column, retryable: Callable[[str], bool] = rate_limited, **waits) -> DataFrame:
     """Rows to append to the reports: (paper_id, revision_number, rigor, survey, rigor_score, survey_confidence, created_at).
 
     One failed answer, or JSON's null for one, makes a paper's whole report the placeholder. Write the result before you use it

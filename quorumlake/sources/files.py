@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorumlake.functions.text import response_kind
+
 #: Fields of a logged request whose contents nobody may read.
 SECRET_FIELDS = (("req", "headers", "authorization"), ("req", "headers", "cookie"), ("res", "headers", "set-cookie"))
 REDACTED = "[Redacted]"
@@ -68,3 +73,61 @@ def requests(bodies: DataFrame, schema: str, body: str = "body", most_bytes: int
 def as_json(rows: DataFrame) -> DataFrame:
     """(value): each row as a JSON object, nulls written out."""
     return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def read_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """(path, content) of the files in folder whose names match."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content")
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes each row of files, (name, content binary), as a file of its own in a folder that all workers reach; returns how many.
+
+    A file appears whole or not at all, so a task that runs twice does no harm. Names are unique and without slashes; null contents are skipped.
+    """
+
+    def run(rows) -> None:
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store.create_dir(at, recursive=True)
+        for r in rows:
+            own = f"{at}/.{r['name']}.{uuid.uuid4().hex}"
+            with store.open_output_stream(own) as f:
+                f.write(bytes(r["content"]))
+            store.move(own, f"{at}/{r['name']}")
+
+    kept = files.select("name", "content").where("content is not null")
+    n = kept.count()
+    kept.foreachPartition(run)
+    return n
+
+
+def fetched(requests_: DataFrame, send: Callable[[str, str, str | None], tuple[int, str | None, bytes]]) -> DataFrame:
+    """requests_: (id, method, url, body string) to (id, status, kind, text, error): answers by way of send(method, url, body), which returns (status, content type, content).
+
+    kind is json, text or blob by the content type; text is null for blobs. GET and HEAD with a body are errors, as are
+    answers that are no success and failures to send.
+    """
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for id_, method, url, body in zip(rows["id"], rows["method"], rows["url"], rows["body"], strict=True):
+                verb = (method or "GET").upper()
+                if body is not None and verb in ("GET", "HEAD"):
+                    out.append((id_, None, None, None, f"{verb} requests cannot have a body"))
+                    continue
+                try:
+                    status, kind, content = send(verb, url, body)
+                except Exception as e:
+                    out.append((id_, None, None, None, str(e)))
+                    continue
+                out.append((id_, status, kind, content, None if 200 <= status < 300 else f"HTTP {status}"))
+            yield pd.DataFrame(out, columns=["id", "status", "type", "content", "error"])
+
+    own = requests_.schema["id"].dataType.simpleString()
+    raw = requests_.select("id", "method", "url", "body").mapInPandas(run, f"id {own}, status int, type string, content binary, error string")
+    kind = response_kind(F.col("type"))
+    return raw.select("id", "status", F.when(F.col("status").isNotNull(), kind).alias("kind"), F.when(kind != "blob", F.decode("content", "utf-8")).alias("text"), "error")

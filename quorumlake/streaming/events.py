@@ -35,18 +35,26 @@ def event_of(data: Column) -> Column:
     return F.when(data.isNotNull(), F.when(done, made(F.lit("done"), none, none)).when(carries, made(kind, text, none)).otherwise(made(F.lit("error"), none, wrong)))
 
 
-def dispatched(frames: DataFrame) -> DataFrame:
+def dispatched(frames: DataFrame, running: bool = True) -> DataFrame:
     """(stream_id, frame_no, data) to what a listener hears: (stream_id, frame_no, kind, data, error, full).
 
     A stream ends with its first error; only its first done counts. full is the transcript up to here,
-    for transcript and done events. Frames without data are skipped.
+    for transcript and done events; running=False gives it for done alone, so that a long stream doesn't
+    repeat it with every event. Frames without data are skipped.
     """
     order = Window.partitionBy("stream_id").orderBy("frame_no")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     events = frames.where("data is not null").select("stream_id", "frame_no", event_of(F.col("data")).alias("e")).select("stream_id", "frame_no", "e.*")
     seen = events.withColumns({f"__{k}": F.coalesce(F.max(F.col("kind") == k).over(before), F.lit(False)) for k in ("error", "done")})
     heard = seen.where(~F.col("__error") & ~(F.col("__done") & (F.col("kind") == "done")))
-    full = F.array_join(F.collect_list(F.when(F.col("kind") == "transcript", F.col("data"))).over(order), "")
+    said = F.when(F.col("kind") == "transcript", F.col("data"))
+    if not running:
+        parts = F.array_sort(F.collect_list(F.when(F.col("kind") == "transcript", F.struct("frame_no", "data"))))
+        ends = heard.where("kind = 'done'").select("stream_id", F.col("frame_no").alias("__end"))
+        whole = heard.join(ends, "stream_id").where("frame_no < __end").groupBy("stream_id").agg(F.array_join(F.transform(parts, lambda p: p["data"]), "").alias("__full"))
+        own = heard.join(whole, "stream_id", "left")
+        return own.select("stream_id", "frame_no", "kind", "data", "error", F.when(F.col("kind") == "done", F.coalesce("__full", F.lit(""))).alias("full"))
+    full = F.array_join(F.collect_list(said).over(order), "")
     return heard.withColumn("full", full).select("stream_id", "frame_no", "kind", "data", "error", F.when(F.col("kind").isin("transcript", "done"), F.col("full")).alias("full"))
 
 

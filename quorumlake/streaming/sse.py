@@ -6,9 +6,10 @@ import logging
 import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -27,23 +28,51 @@ def data_of(frame: Column) -> Column:
     return F.when(F.size(lines) > 0, F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, "^data: ?", "")), "\n"))
 
 
+def collected(chunks: DataFrame) -> DataFrame:
+    """(stream_id, chunk_no, chunk) to (stream_id, all): the chunks that aren't empty joined in their order; a stream of empty ones gives an empty text."""
+    some = F.filter(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))), lambda c: F.length(c["chunk"]) > 0)
+    return chunks.groupBy("stream_id").agg(F.array_join(F.transform(some, lambda c: c["chunk"]), "").alias("all"))
+
+
 def split_frames(chunks: DataFrame) -> DataFrame:
     """Batch: (stream_id, chunk_no, chunk) to (stream_id, frame_no, frame); the last frame may be unterminated."""
-    whole = chunks.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))), lambda c: c["chunk"]), "").alias("all"))
-    return whole.select("stream_id", F.posexplode(F.split("all", _BREAK.pattern)).alias("frame_no", "frame")).where("frame <> ''")
+    return collected(chunks).select("stream_id", F.posexplode(F.split("all", _BREAK.pattern)).alias("frame_no", "frame")).where("frame <> ''")
+
+
+def _rows_of(batches: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
+    parts = list(batches)
+    return pd.concat(parts) if parts else pd.DataFrame(columns=columns)
+
 
+def _timeout(quiet: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if quiet else GroupStateTimeout.NoTimeout
 
-def stream_frames(chunks: DataFrame) -> DataFrame:
-    """Streaming: (stream_id long, chunk_no long, chunk string) to (stream_id, frame); state is the rest of each stream."""
+
+def stream_frames(chunks: DataFrame, quiet: int | None = None) -> DataFrame:
+    """Streaming: (stream_id long, chunk_no long, chunk string), chunks from 0 in any order, to (stream_id, frame).
+
+    State is the next chunk's number, chunks that came too early, and the unterminated rest. With
+    quiet, a stream that is silent for so many milliseconds ends: early chunks are taken in their order, the
+    rest is a frame, and its state goes. (A query that is to end with the input it finds can't wait so.)
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rest = state.get[0] if state.exists else ""
-        rows = pd.concat(list(batches)).sort_values("chunk_no")
-        out, rest = frames(rest + "".join(rows["chunk"]))
-        state.update((rest,))
+        following, seqs, data, rest = state.get if state.exists else (0, [], [], "")
+        pending = dict(zip(seqs, data, strict=True))
+        if state.hasTimedOut:
+            out, rest = frames(rest + "".join(pending[k] for k in sorted(pending)))
+            out += [rest] * bool(rest)
+            state.remove()
+        else:
+            rows = _rows_of(batches, ["chunk_no", "chunk"])
+            come, following = in_sequence(pending, following, rows["chunk_no"].tolist(), rows["chunk"].tolist())
+            out, rest = frames(rest + "".join(x for _, x in come))
+            state.update((following, list(pending), list(pending.values()), rest))
+            if quiet:
+                state.setTimeoutDuration(quiet)
         yield pd.DataFrame({"stream_id": [key[0]] * len(out), "frame": out})
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, frame string", "rest string", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, frame string", "following long, seqs array<long>, data array<string>, rest string", "append", _timeout(quiet))
 
 
 def in_sequence(pending: dict[int, str], following: int, seqs: list[int], data: list[str]) -> tuple[list[tuple[int, str]], int]:
@@ -58,18 +87,35 @@ def in_sequence(pending: dict[int, str], following: int, seqs: list[int], data:
     return out, following
 
 
-def resequence(chunks: DataFrame) -> DataFrame:
-    """Streaming: (stream_id long, seq long, data string) in any order to the same, gap-free from 0."""
+def resequence(chunks: DataFrame, quiet: int | None = None) -> DataFrame:
+    """Streaming: (stream_id long, seq long, data string) in any order to the same, gap-free from 0.
+
+    With quiet, a stream that is silent for so many milliseconds ends: what waits behind a gap comes in its order, and its
+    state goes. (A query that is to end with the input it finds can't wait so.)
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         following, seqs, data = state.get if state.exists else (0, [], [])
         pending = dict(zip(seqs, data, strict=True))
-        rows = pd.concat(list(batches))
-        out, following = in_sequence(pending, following, rows["seq"].tolist(), rows["data"].tolist())
-        state.update((following, list(pending), list(pending.values())))
+        if state.hasTimedOut:
+            out = sorted(pending.items())
+            state.remove()
+        else:
+            rows = _rows_of(batches, ["seq", "data"])
+            out, following = in_sequence(pending, following, rows["seq"].tolist(), rows["data"].tolist())
+            state.update((following, list(pending), list(pending.values())))
+            if quiet:
+                state.setTimeoutDuration(quiet)
         yield pd.DataFrame({"stream_id": [key[0]] * len(out), "seq": [s for s, _ in out], "data": [x for _, x in out]})
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, seq long, data string", "following long, seqs array<long>, data array<string>", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, seq long, data string", "following long, seqs array<long>, data array<string>", "append", _timeout(quiet))
+
+
+def gap_free(chunks: DataFrame, arrived: str) -> DataFrame:
+    """Batch: (stream_id, seq, data) and the order of arrival to (stream_id, seq, data): the numbers from 0 up to the first gap; what came twice is joined."""
+    each = chunks.where("seq >= 0").groupBy("stream_id", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(arrived).alias("a"), "data"))), lambda x: x["data"]), "").alias("data"))
+    place = F.row_number().over(Window.partitionBy("stream_id").orderBy("seq")) - 1
+    return each.withColumn("__place", place).where("__place = seq").drop("__place")
 
 
 def debounce(events: DataFrame, gap: str = "300 milliseconds", at: str = "ts", value: str = "value", keys: list[str] | None = None) -> DataFrame:
@@ -77,29 +123,45 @@ def debounce(events: DataFrame, gap: str = "300 milliseconds", at: str = "ts", v
     return events.groupBy(*(keys or []), F.session_window(at, gap)).agg(F.max_by(value, at).alias(value), F.max(at).alias(at)).drop("session_window")
 
 
-def retrying_map(items: DataFrame, call: Callable[[str], str], retryable: Callable[[str], bool], retries: int = 7, first_wait: float = 2.0, most_wait: float = 128.0) -> DataFrame:
-    """items: (index of any type, payload string) to (index, result, error, attempts). Only errors that retryable accepts are tried again, with doubled waits; a failure is a row, not an abort."""
+def rate_limited(message: str) -> bool:
+    """Whether an error says that the caller was too fast; the same test as functions.text.is_rate_limit, for a worker."""
+    low = message.lower()
+    return "429" in message or "RATELIMIT_EXCEEDED" in message or "quota" in low or "rate limit" in low
+
+
+def retrying_map(items: DataFrame, call: Callable[[str], str], retryable: Callable[[str], bool] = rate_limited, retries: int = 7, first_wait: float = 2.0, most_wait: float = 128.0, at_once: int = 2) -> DataFrame:
+    """items: (index of any type, payload string) to (index, result, error, attempts), in the order of items.
+
+    A task has at_once calls under way. Only errors that retryable accepts are tried again, with doubled waits; a
+    failure is a row, not an abort.
+    """
+
+    def one(payload: str) -> tuple[str | None, str | None, int]:
+        wait = first_wait
+        for attempt in range(1, retries + 2):
+            try:
+                return call(payload), None, attempt
+            except Exception as e:
+                if attempt > retries or not retryable(str(e)):
+                    return None, str(e), attempt
+                time.sleep(wait)
+                wait = min(wait * 2, most_wait)
+        raise AssertionError
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for index, payload in zip(rows["index"], rows["payload"], strict=True):
-                wait = first_wait
-                for attempt in range(1, retries + 2):
-                    try:
-                        out.append((index, call(payload), None, attempt))
-                        break
-                    except Exception as e:
-                        if attempt > retries or not retryable(str(e)):
-                            out.append((index, None, str(e), attempt))
-                            break
-                        time.sleep(wait)
-                        wait = min(wait * 2, most_wait)
-            yield pd.DataFrame(out, columns=["index", "result", "error", "attempts"])
+        with ThreadPoolExecutor(at_once) as pool:
+            for rows in batches:
+                done = list(pool.map(one, rows["payload"]))
+                yield pd.DataFrame([(i, *d) for i, d in zip(rows["index"], done, strict=True)], columns=["index", "result", "error", "attempts"])
 
     return items.mapInPandas(run, f"index {items.schema['index'].dataType.simpleString()}, result string, error string, attempts long")
 
 
+def totals(results: DataFrame) -> DataFrame:
+    """(processed, errors) of retrying_map's results."""
+    return results.agg(F.count("*").alias("processed"), F.count("error").alias("errors"))
+
+
 def progress_events(results: DataFrame) -> DataFrame:
     """results of retrying_map, stored (they are read twice), to the events that tell of them: (type, index, result, error, total, processed, errors).
 

@@ -5,7 +5,7 @@ from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import functions as F
 
-from quorumlake.functions import media, text
+from quorumlake.functions import media, requests, text
 from quorumlake.sources import files
 from quorumlake.streaming import events
 
@@ -38,6 +38,8 @@ def test_converted(spark):
     assert got == {1: (wav, None), 2: (b"OggS" + bytes(12), None), 3: (None, None)}
     got = {r["id"]: (r["content"], r["error"]) for r in media.converted(rows, ("false",)).collect()}
     assert got[1] == (wav, None) and got[2] == (None, "false exited with code 1")
+    got = {r["id"]: r["error"] for r in media.converted(rows, ("sleep", "60"), seconds=0.2).collect()}
+    assert got[1] is None and "timed out" in got[2]
     kinds = [F.array(*map(F.lit, x)) for x in (("audio/mp4", "audio/webm"), ("other",))]
     assert list(spark.range(1).select(*map(media.first_supported, kinds)).first()) == ["audio/webm", None]
 
@@ -47,6 +49,14 @@ def test_requests(spark):
     good, bad = files.requests(rows, "a long, b string", most_bytes=40)
     assert [(r["id"], r["request"]["a"]) for r in good.collect()] == [(1, 1)]
     assert {r["id"]: r["reason"] for r in bad.collect()} == {2: "no JSON object", 3: "no JSON object", 4: "no JSON object", 5: "too large"}
+    shape = {"a": "number?", "b": ("x", "y"), "c": "strings", "d": "references"}
+    bodies = ['{"a": null, "b": "x", "c": ["t"], "d": [{"citation": "q", "url": null}]}', '{"a": 1.5, "b": "y", "c": [], "d": []}', '{"a": "1", "b": "z", "c": [1], "d": [{"citation": 5, "url": null}]}', '{"b": "x", "c": "t", "d": [{"url": "u"}]}', "[]", None, '{"a": 1, "b": 2, "c": [null], "d": {}}']
+    got = requests.checked(spark.createDataFrame(list(enumerate(bodies)), "id long, body string"), shape).orderBy("id").collect()
+    assert [r["errors"] for r in got] == [
+        [], [], ["a: not a number", "b: none of x, y", "c: not a list of strings", "d: not a list of references"], ["a: missing", "c: not a list of strings", "d: not a list of references"], ["body: no JSON object"], ["body: no JSON object"],
+        ["b: not a string", "c: not a list of strings", "d: not a list of references"],
+    ]
+    assert got[0]["request"]["d"][0]["citation"] == "q" and requests.REVISION["revisionSummary"] == "string"
     assert files.as_json(good.select("request.*")).first()[0] == '{"a":1,"b":null}'
 
 
@@ -69,3 +79,34 @@ def test_more_text(spark):
     }
     got = spark.range(1).select(*[c.alias(k) for k, c in cells.items()]).first().asDict()
     assert got == {"url": "/p?q=a+b%26c&limit=5", "bare": "/p", "full": True, "blank": False, "missing": False, "label": "A", "key": "z", "own": False, "errors": ["bad"]}
+
+
+def test_written_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a.bin", b"one"), ("b.bin", b"2"), ("c.bin", None)], "name string, content binary")
+    for _ in range(2):
+        assert files.write_files(rows, f"file://{tmp_path}/w") == 2
+    got = {r["path"].rsplit("/", 1)[1]: bytes(r["content"]) for r in files.read_files(spark, f"{tmp_path}/w", "*.bin").collect()}
+    assert got == {"a.bin": b"one", "b.bin": b"2"}
+
+
+def test_held_and_together():
+    from quorumlake.streaming import jobs
+
+    assert jobs.together({"a": lambda: 1, "b": lambda: 2}) == {"a": 1, "b": 2} and jobs.together({}) == {}
+    made = []
+
+    class Table:
+        def __init__(self, name):
+            made.append(name)
+
+        def persist(self):
+            return self
+
+        def unpersist(self):
+            made.append("gone")
+
+    held = jobs.Held()
+    held.define("a", lambda: Table("a"))
+    held.define("b", lambda: Table("b") if held.get("a") else None, "a")
+    held.get("b"), held.get("b")
+    assert held.changed("b") == ["b"] and held.changed("a") == ["a"] and made.count("b") == 1

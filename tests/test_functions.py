@@ -59,16 +59,60 @@ def test_media(spark):
 
 def test_writes(spark):
     t = datetime
-    papers = spark.createDataFrame([(1, "u", "old", "oa", 1, t(2024, 1, 1)), (2, "v", "x", "y", 0, t(2024, 1, 1))], "id long, author_id string, title string, abstract string, revision_count int, updated_at timestamp")
-    edits = spark.createDataFrame([(1, "u", "new", None, "why", t(2024, 2, 1)), (2, "u", "no", None, "no", t(2024, 2, 1))], "id long, author_id string, title string, abstract string, summary string, at timestamp")
-    rows, now = writes.revise(papers, edits)
-    assert [tuple(r)[:5] for r in rows.collect()] == [(1, 2, "old", "oa", "why")]
-    assert {r["id"]: (r["title"], r["abstract"], r["revision_count"]) for r in now.collect()} == {1: ("new", "oa", 2), 2: ("x", "y", 0)}
+    refs = "references array<struct<citation:string,url:string>>"
+    papers = spark.createDataFrame([(1, "u", "old", "oa", "b", ["x"], [], 1, t(2024, 1, 1)), (2, "v", "x", "y", "b", ["x"], [], 0, t(2024, 1, 1))], f"id long, author_id string, title string, abstract string, body string, fields array<string>, {refs}, revision_count int, updated_at timestamp")
+    edits = [(10, 1, "u", "new", "na", "nb", ["z"], [("c", None)], "why", t(2024, 2, 1)), (11, 1, "u", "newer", "na2", "nb2", [], [], "again", t(2024, 2, 2)), (12, 2, "u", "no", "", "", [], [], "no", t(2024, 2, 1)), (13, 9, "u", "no", "", "", [], [], "no", t(2024, 2, 1))]
+    edits = spark.createDataFrame(edits, f"edit_id long, id long, author_id string, title string, abstract string, body string, fields array<string>, {refs}, summary string, at timestamp")
+    rows, now, refused = writes.revise(papers, edits)
+    assert sorted(tuple(r)[:5] for r in rows.collect()) == [(1, 2, "old", "oa", "why"), (1, 3, "new", "na", "again")]
+    assert {r["id"]: (r["title"], r["body"], r["fields"], r["revision_count"], r["updated_at"].day) for r in now.collect()} == {1: ("newer", "nb2", [], 3, 2), 2: ("x", "b", ["x"], 0, 1)}
+    assert {r["edit_id"]: r["status"] for r in refused.collect()} == {12: "403", 13: "404"}
     ok, refused = writes.split_valid(spark.createDataFrame([("endorse",), ("x",), (None,)], "s string"), F.col("s").isin("endorse", "challenge", "reject"))
     assert (ok.count(), refused.count()) == (1, 2)
     assert writes.delete_cascade(spark.createDataFrame([(1, 1), (2, 2)], "id long, p long"), spark.createDataFrame([(1,)], "id long"), "p", "id").count() == 1
 
 
+def test_latest_wins(spark):
+    t = datetime
+    rows = [(1, 1, 7, "endorse", t(2024, 1, 1)), (1, 1, 8, "reject", t(2024, 1, 1)), (1, 1, 3, "challenge", t(2023, 12, 31)), (2, 1, 9, "other", t(2024, 1, 1))]
+    votes = spark.createDataFrame(rows, "paper_id long, user_id long, event_id long, stance string, ts timestamp_ntz")
+    got = writes.latest_wins(votes, ["paper_id", "user_id"], "ts", "event_id", "stance", ("endorse", "challenge", "reject"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 3, 8, t(2023, 12, 31), t(2024, 1, 1), "reject"), (2, 1, 9, 9, t(2024, 1, 1), t(2024, 1, 1), None)]
+    plan = got._jdf.queryExecution().explainString(got._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+#: (rigor, confidence, stances with the reviewer's number, replies of each comment) and (endorse, challenge, reject, comments, combined, stage).
+GOLDEN = [
+    ((7.6, 0.72, "e1 e2 e3 c4", (1, 1)), (3, 1, 0, 4, 7.82, "promoted")),
+    ((8.4, 0.86, "e1 e2 e3 e4 e1", (1, 0)), (4, 0, 0, 3, 9.01, "promoted")),
+    ((7.0, 0.60, "e1 c2 c3", (1,)), (1, 2, 0, 2, 6.4, "under_review")),
+    ((8.7, 0.90, "e1 e2 e3 e4 e2", (2,)), (4, 0, 0, 3, 9.23, "promoted")),
+    ((8.0, 0.78, "e1 e2 e3 e4 r4", (0, 0)), (4, 0, 0, 2, 8.65, "promoted")),
+    ((5.6, 0.45, "e1 c2", (0,)), (1, 1, 0, 1, 5.36, "under_review")),
+]
+
+
+def test_golden_rows(spark):
+    """The seed's papers, loaded from nested documents: counts, scores and stages."""
+    from quorumlake.sources.domain import scored
+
+    names = {"e": "endorse", "c": "challenge", "r": "reject"}
+    docs = [(k + 1, "u0", "t", "a", "b", ["x"], [], (rigor,), (conf,), [(f"u{v[1]}", names[v[0]], "j") for v in votes.split()], [("u1", "c", [("u2", "r")] * n) for n in replies]) for k, ((rigor, conf, votes, replies), _) in enumerate(GOLDEN)]
+    schema = "id long, author_id string, title string, abstract string, body string, fields array<string>, references array<struct<citation:string,url:string>>, rigor struct<overallScore:double>, survey struct<confidence:double>, reviews array<struct<author_id:string,stance:string,justification:string>>, comments array<struct<author_id:string,body:string,replies:array<struct<author_id:string,body:string>>>>"
+    people = spark.createDataFrame([(f"u{k}", "n") for k in range(5)], "id string, display_name string")
+    at = F.lit(datetime(2024, 1, 1))
+    frame = spark.createDataFrame(docs, schema)
+    tables = writes.reseed({"profiles": people, **writes.load(frame, at)}, frame, people, at)
+    assert {n: t.count() for n, t in tables.items()} == {"papers": 6, "profiles": 5, "reviews": 21, "comments": 15, "reports": 6}
+    counts = tables["reviews"].groupBy(F.col("paper_id").alias("id")).agg(*[F.count_if(F.col("stance") == s).alias(s) for s in names.values()])
+    said = {r[0]: r[1] for r in tables["comments"].groupBy("paper_id").count().collect()}
+    got = scored(tables["papers"].withColumnRenamed("stage", "stored").join(counts, "id"), "rigor_score", "ai_confidence").select("*", scores.round2(F.col("combined")).alias("shown")).orderBy("id").collect()
+    assert [(r["endorse"], r["challenge"], r["reject"], said[r["id"]], r["shown"], r["stage"]) for r in got] == [g for _, g in GOLDEN]
+    assert [r["stored"] for r in got] == [r["stage"] for r in got]
+    assert tables["comments"].where("parent_id is not null").join(tables["comments"].select(F.col("id").alias("parent_id"), F.col("paper_id").alias("p")), "parent_id").where("p = paper_id").count() == 6
+
+
 def test_sse(spark):
     chunks = spark.createDataFrame([(1, 0, "data: a\nda"), (1, 1, "ta:b\n\nx: y\r\n\r\ndata:c\r\rda"), (1, 2, "ta: tail")], "stream_id long, chunk_no long, chunk string")
     got = sse.split_frames(chunks).select("frame_no", sse.data_of(F.col("frame")).alias("d")).orderBy("frame_no").collect()
@@ -85,6 +129,35 @@ def test_resequence_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.table("resequenced").collect())) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "z")]
 
 
+def test_frames_stream(spark, tmp_path):
+    """Chunks of one stream that come in the wrong order, over two batches."""
+    schema = "stream_id long, chunk_no long, chunk string"
+    for n, rows in enumerate(([(1, 1, "b\n\nda"), (2, 1, "later")], [(1, 0, "data: a"), (1, 2, "ta: c\n"), (1, 3, "\nrest")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in{n}")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        next((tmp_path / f"in{n}").glob("*.parquet")).rename(tmp_path / "in" / f"{n}.parquet")
+        q = sse.stream_frames(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [(1, "data: ab"), (1, "data: c")]
+
+
+def test_quiet_streams_end(spark, tmp_path):
+    """What waits behind a gap, and a rest without an end, come once a stream has been silent."""
+    import time
+
+    spark.createDataFrame([(1, 0, "data: a\n\nda"), (1, 2, "ta: c")], "stream_id long, chunk_no long, chunk string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    rows = spark.readStream.schema("stream_id long, chunk_no long, chunk string").parquet(f"{tmp_path}/in")
+    q = sse.stream_frames(rows, quiet=500).writeStream.format("memory").queryName("quiet").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").start()
+    try:
+        for _ in range(60):
+            if spark.table("quiet").count() == 2:
+                break
+            time.sleep(0.5)
+        assert sorted(r["frame"] for r in spark.table("quiet").collect()) == ["data: a", "data: c"]
+    finally:
+        q.stop()
+
+
 def test_debounce_and_retries(spark):
     base = datetime(2024, 1, 1)
     ev = spark.createDataFrame([(base.replace(microsecond=0), "a"), (base.replace(microsecond=100_000), "b"), (base.replace(second=2), "c")], "ts timestamp, value string")
@@ -98,5 +171,6 @@ def test_debounce_and_retries(spark):
         return p.upper()
 
     items = spark.createDataFrame([(0, "ok"), (1, "slow"), (2, "bad")], "index long, payload string").coalesce(1)
+    assert sse.rate_limited("Quota hit") and sse.rate_limited("x RATELIMIT_EXCEEDED") and not sse.rate_limited("ratelimit_exceeded")
     got = {r["index"]: (r["result"], r["error"], r["attempts"]) for r in sse.retrying_map(items, call, lambda m: "429" in m, first_wait=0.01).collect()}
     assert got == {0: ("OK", None, 1), 1: ("SLOW", None, 3), 2: (None, "no", 1)}

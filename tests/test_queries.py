@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quorumlake.plans.queries import ORACLE_SQL, QUERIES
+from quorumlake.plans.catalog import ORACLE_SQL, QUERIES
 
 
 def rows(columns, values):
@@ -27,3 +27,32 @@ def test_query(spark, sf, name):
     got = QUERIES[name](spark, sf)
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, map(tuple, got.collect())) == rows(want.columns, want.fetchall())
+
+
+def test_order_without_broadcast(spark, sf):
+    """Lists come in their order, whichever way Spark joins the authors."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("list_recent", "list_top", "feed_trending", "field_tags"):
+            assert [r["position"] for r in QUERIES[name](spark, sf).collect()] == list(range(1, QUERIES[name](spark, sf).count() + 1))
+        places = [(r["paper_id"], r["position"]) for r in QUERIES["reviews_by_paper"](spark, sf).collect()]
+        assert places == sorted(places)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_nested_shapes(spark, sf):
+    """Summaries and details as they are answered, authors nested."""
+    from quorumlake.plans import queries as q
+    from quorumlake.sources.domain import Domain
+
+    d = Domain(spark, sf)
+    one = q.nested_summary(q.list_papers(d, limit=1)).first().asDict(recursive=True)
+    assert list(one) == ["id", "title", "abstract", "fields", "stage", "author", "rigorScore", "aiConfidence", "endorseCount", "challengeCount", "rejectCount", "commentCount", "createdAt", "updatedAt"]
+    assert list(one["author"]) == ["id", "displayName", "avatarUrl", "bio", "createdAt"]
+    page = q.details(d, d.papers().where("id = 3")).first().asDict(recursive=True)
+    assert {"paper", "author", "rigorReport", "aiSurvey", "voteBreakdown", "commentCount", "promotionThresholds"} <= set(page) and page["promotionThresholds"]["promoted"] == 7.5
+    assert q.list_papers(d, field="none").count() == 0 and q.limit_of(None) == 50 and q.limit_of(1000) == 200
+    with pytest.raises(ValueError):
+        q.limit_of(-1)
