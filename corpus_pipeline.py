@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from quorumlake.llm import line_dedup, packing, pii, setsketch, toxicity
 from quorumlake.llm.queries import TOXIC, toxicity_model
-from quorumlake.llm.shared import cut, ship
+from quorumlake.llm.shared import cut, hold_batches, ship
+
+
+def _prepare(spark: SparkSession) -> None:
+    ship(spark)
+    hold_batches(spark)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below TOXIC."""
-    ship(spark)
+    _prepare(spark)
     scored = toxicity.score(docs, toxicity_model(spark, sf_dir), score_col="__ql_toxicity")
     return scored.where(F.col("__ql_toxicity") < TOXIC).drop("__ql_toxicity")
 
@@ -28,21 +33,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id."""
-    ship(spark)
+    _prepare(spark)
     kept = setsketch.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__ql_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__ql_id")), "left_semi")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind."""
-    ship(spark)
+    _prepare(spark)
     found = pii.annotate(docs, spans_col="__ql_spans", clean_col="__ql_clean")
     return _sized(found.withColumn("text", F.col("__ql_clean"))).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document's tokens lie in sequences of 4096."""
-    ship(spark)
+    _prepare(spark)
     return packing.pack(docs)
 
 
