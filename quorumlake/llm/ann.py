@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 #: Standard deviations of the estimate that its bounds allow for, and of a cluster's members that decide whether it is looked into.
-EPSILON, REACH = 2.5, 3.5
+EPSILON, REACH = 2.0, 3.6
 SEED = 11
 #: Bits of a query's coordinates.
 PLANES = 6
@@ -32,7 +32,7 @@ SAMPLE_ROWS, CENTRES, LEAST_ROWS = 8192, 1024, 32
 #: Rows of a block of the base, about; queries that meet one copy of it; queries estimated at once.
 BLOCK, QUERIES, AT_ONCE = 8192, 65536, 64
 #: Clusters in which a query's first bound is looked for.
-FIRST = 2
+FIRST = 10
 
 
 def usable(embedding: str):
@@ -114,6 +114,7 @@ class Index:
 
     rows: DataFrame
     sizes: DataFrame
+    clusters: int
     centres: dict[int, np.ndarray] = field(default_factory=dict)
 
 
@@ -163,7 +164,8 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
     codes = cut(rows.mapInArrow(coded, "row long, id long, vec array<double>, dim int, cluster int, bits binary, length double, agreement double"), "codes")
     sizes = codes.groupBy("dim", "cluster").agg(F.count("*").alias("rows"), F.sqrt(F.avg(F.col("length") * F.col("length")) / F.col("dim")).alias("reach"))
-    return Index(codes, cut(sizes, "sizes"), centres)
+    sizes = cut(sizes, "sizes")
+    return Index(codes, sizes, sizes.count(), centres)
 
 
 def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -191,6 +193,8 @@ def search(index: Index, queries: DataFrame, k: int = 20, epsilon: float = EPSIL
     asked = queries.where(usable("query")).select(F.monotonically_increasing_id().alias("q"), "query_id", own.cast("long").alias("own"), F.col("query").cast("array<double>").alias("vec"))
     asked = cut(asked, "queries")
     blocks, centres = F.ceil(F.col("rows") / BLOCK).cast("int"), index.centres
+    # a row for each cluster; there are few unless very many lengths occur
+    small = F.broadcast if index.clusters <= 100_000 else (lambda rows: rows)
     told = index.sizes.where(F.col("dim").isin(*centres)).toArrow() if centres else None  # CENTRES rows for each of at most 16 lengths
     reaches = {d: np.zeros(len(c)) for d, c in centres.items()}
     if told is not None:
@@ -261,7 +265,7 @@ def search(index: Index, queries: DataFrame, k: int = 20, epsilon: float = EPSIL
             else:
                 worth = ~out
             a, b = np.nonzero(worth)
-            score = np.concatenate([np.zeros(0), *(_dots(x[b[s : s + 65536]], y[a[s : s + 65536]]) for s in range(0, len(a), 65536))])
+            score = np.concatenate([np.zeros(0), *(_dots(x[b[s : s + 4096]], y[a[s : s + 4096]]) for s in range(0, len(a), 4096))])
             order = np.lexsort((rows[b], ids[b], -score, a))
             a, b, score = a[order], b[order], score[order]
             place = np.arange(len(a)) - np.searchsorted(a, a)
@@ -274,12 +278,12 @@ def search(index: Index, queries: DataFrame, k: int = 20, epsilon: float = EPSIL
         places = floors.mapInArrow(probes, kinds)
         if first:
             places = places.where(F.col("best") < FIRST)
-        places = places.join(index.sizes.select("dim", "cluster", blocks.alias("blocks")), ["dim", "cluster"])
+        places = places.join(small(index.sizes.select("dim", "cluster", blocks.alias("blocks"))), ["dim", "cluster"])
         copies = places.groupBy("dim", "cluster").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies"))
         mine = F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int")
-        places = places.join(copies, ["dim", "cluster"]).withColumn("block", F.explode(F.array(mine) if first else F.sequence(F.lit(0), F.col("blocks") - 1)))
+        places = places.join(small(copies), ["dim", "cluster"]).withColumn("block", F.explode(F.array(mine) if first else F.sequence(F.lit(0), F.col("blocks") - 1)))
         asks = places.select("dim", "cluster", "block", F.pmod(F.xxhash64("q", F.lit(1)), F.col("copies")).cast("int").alias("copy"), F.lit(True).alias("asks"), "q", F.col("query_id"), F.lit(None).cast("long").alias("id"), "own", "vec", "floor", F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("double").alias("length"), F.lit(None).cast("double").alias("agreement"))
-        rows = index.rows.join(index.sizes.select("dim", "cluster", blocks.alias("blocks")), ["dim", "cluster"]).join(copies, ["dim", "cluster"])
+        rows = index.rows.join(small(index.sizes.select("dim", "cluster", blocks.alias("blocks"))), ["dim", "cluster"]).join(small(copies), ["dim", "cluster"])
         rows = rows.select("dim", "cluster", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(False).alias("asks"), F.col("row").alias("q"), F.lit(None).cast("long").alias("query_id"), "id", F.lit(None).cast("long").alias("own"), "vec", F.lit(None).cast("double").alias("floor"), "bits", "length", "agreement")
         place = ["dim", "cluster", "block", "copy"]
         return rows.unionByName(asks).repartition(*place).sortWithinPartitions(*place, "asks").mapInArrow(near, "q long, query_id long, vec_id long, row long, score double")

@@ -26,7 +26,7 @@ BLOCK, BLOCKS_A_BUCKET = 32 << 20, 4
 #: Words whose ids a worker remembers (it starts anew beyond that), and words encoded at once.
 REMEMBERED, AT_ONCE = 2_000_000, 20_000
 #: Bytes of text split at once, and ids decoded at once.
-CHUNK, DECODED = 4 << 20, 1 << 20
+CHUNK, DECODED = 4 << 20, 1 << 19
 
 #: Blanks 0, letters 1, digits 2, signs 3; 4: a word with such a byte is left whole.
 _KIND = np.full(256, 4, np.uint8)

@@ -23,8 +23,8 @@ from .words import hash_words, mix
 END = mix(np.array([0x656E64], np.uint64))[0]
 #: Documents counted or scored at once.
 SLICE = 4000
-#: Bytes of text for each part of the vocabulary and shard of bigrams, about: their numbers follow from the data.
-PART_BYTES = 64 << 20
+#: Bytes of text for each part of the vocabulary, about, and shards of bigrams for each part: their numbers follow from the data.
+PART_BYTES, SHARDS = 64 << 20, 4
 #: A bigram's count from here on stands in a table of its own, with 64 bits.
 MANY = 2**32 - 1
 
@@ -206,7 +206,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     folder = new_folder(spark, "ngrams")
     texts = docs.select(F.col(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    shards = SHARDS * parts
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
@@ -291,7 +292,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
             n = [] if kind == "context" else [int(out.sum()), *(int((out == c).sum()) for c in (1, 2, 3, 4)), int((out > 2).sum())]
         return pa.Table.from_arrays([pa.array([kind]), pa.array([k], pa.int32()), pa.array([n], pa.list_(pa.int64()))], ["kind", "part", "n"])
 
-    counted = texts.mapInArrow(bigrams, "shard int, steps binary, counts binary").repartition(shards, "shard").groupBy("shard").applyInArrow(shard_of, kinds)
+    counted = texts.mapInArrow(bigrams, "shard int, steps binary, counts binary").repartition(parts, "shard").groupBy("shard").applyInArrow(shard_of, kinds)
     # a few numbers for each part
     told = counted.repartition(parts, "kind", "part").groupBy("kind", "part").applyInArrow(tables_of, "kind string, part int, n array<long>").collect()
     there = {(r["kind"], r["part"]) for r in told}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, embed_dedup, kneser_ney, line_dedup, packing, pii, setsketch, toxicity, warc
-from .shared import new_folder, ship
+from .shared import hold_batches, new_folder, ship
 
 #: Score from which a text counts as toxic.
 TOXIC = 0.3
@@ -16,6 +16,7 @@ TOXIC = 0.3
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    hold_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -61,6 +61,23 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch between Spark and Python: texts are some KB each, and each Python stage of a task holds a batch on either side.
+BATCH = 1000
+
+
+def hold_batches(spark: SparkSession, rows: int = BATCH) -> str:
+    """Hold the session's Arrow batches to so many rows if they are at Spark's default; returns what the setting was.
+
+    The setting is read when a plan runs, so a query that returns a plan can't put it back; callers who run their plans
+    themselves can. No operator needs it for right results.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if before == "10000":
+        spark.conf.set(name, str(rows))
+    return before
+
+
 _shipped: set[str] = set()
 
 
