@@ -26,7 +26,7 @@ BLOCK, BLOCKS_A_BUCKET = 32 << 20, 4
 #: Words whose ids a worker remembers (it starts anew beyond that), and words encoded at once.
 REMEMBERED, AT_ONCE = 2_000_000, 20_000
 #: Bytes of text split at once, and ids decoded at once.
-CHUNK, DECODED = 4 << 20, 1 << 19
+CHUNK, DECODED = 4 << 20, 1 << 16
 
 #: Blanks 0, letters 1, digits 2, signs 3; 4: a word with such a byte is left whole.
 _KIND = np.full(256, 4, np.uint8)
@@ -315,7 +315,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         groups = []
         for doc_ids, own in _texts(texts):
             groups.append((doc_ids, [(words.dictionary_encode(), counts) for words, counts in split_words(own)]))
-        words, _ = _dealt([d.dictionary for _, g in groups for d, _ in g], buckets)
+        lists = [d.dictionary for _, g in groups for d, _ in g]
+        words, _ = _dealt(lists, buckets)
+        # each distinct word of each part is looked up once, all of them together
+        places = pc.index_in(pa.chunked_array(lists, pa.string()), value_set=words).to_numpy().astype(np.int64)
+        begins = iter(np.cumsum([0, *map(len, lists)]).tolist())
         found = found.sort_by("bucket")
         sizes = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(_swell(x.as_py()), "<u4").astype(np.int64) for x in found["sizes"])])
         flat = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(_swell(x.as_py()), k.as_py()).astype(np.int32) for x, k in zip(found["ids"], found["kind"], strict=True))])
@@ -323,8 +327,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         for doc_ids, parts in groups:
             begin = 0
             for d, counts in parts:
-                at = pc.index_in(d.dictionary, value_set=words).to_numpy(zero_copy_only=False).astype(np.int64)
-                ids, n = _gathered(flat, starts, sizes, at[d.indices.to_numpy()])
+                ids, n = _gathered(flat, starts, sizes, places[next(begins) + d.indices.to_numpy().astype(np.int64)])
                 bounds = np.concatenate([[0], np.cumsum(_of_texts(n, counts))])
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 out.append(pa.record_batch([pa.array(doc_ids[begin : begin + len(counts)], pa.int64()), lists], ["id", "ids"]))
