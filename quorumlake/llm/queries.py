@@ -39,7 +39,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.annotate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.annotate(_table(spark, sf_dir, "documents").select("doc_id", "text"), clean_col=None)
     counts = [F.expr(f"cast(size(filter(pii_spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.span_list("pii_spans", pii.BASE_KINDS), 256).alias("base_sha256"), pii.span_list("pii_spans").alias("spans"))
 
@@ -64,14 +64,19 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
     number = r"<urn:page:(-?\d+)>"
-    records = warc.read_archive(spark, path)
+    # each record as it stands in a WARC file, taken apart again; a revisit's payload is the one that it stands for
+    rebuilt = warc.read_archive(spark, path).select("payload", "verified", warc.record_bytes().alias("record"))
+    parts = rebuilt.withColumn("header", warc.header_of(F.col("record")))
+    kind = warc.field("WARC-Type")
+    block = warc.block_of(F.col("record"), F.col("header"), warc.field("Content-Length"))
+    records = parts.select("header", kind.alias("record_type"), "verified", F.when(kind == "response", block).otherwise(F.col("payload")).alias("payload"))
     return records.select(
         F.regexp_extract(warc.field("WARC-Record-ID"), number, 1).try_cast("long").alias("page_id"),
         F.length("payload").cast("long").alias("payload_bytes"),
         warc.sha1_base32(F.col("payload")).alias("payload_digest"),
-        warc.field("WARC-Type").alias("record_type"),
+        "record_type",
         F.regexp_extract(warc.field("WARC-Refers-To"), number, 1).try_cast("long").alias("refers_to"),
-        F.col("verified"),
+        "verified",
         (warc.field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), warc.sha1_base32(F.col("payload")))).alias("digest_matches"),
     )
 
@@ -103,5 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_near_duplicates": setsketch.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
+    "op6_warc": warc.ORACLE,
+    "op9_near_vectors": embed_dedup.ORACLE,
 }

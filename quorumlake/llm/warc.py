@@ -8,7 +8,6 @@ records as they would stand in a WARC file.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -73,9 +72,9 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/headers").join(payloads, "address").select("header", "payload", "verified")
 
 
-def field(name: str) -> Column:
+def field(name: str, header: str = "header") -> Column:
     """A field of the header column, null where it is missing."""
-    found = F.regexp_extract(F.decode("header", "utf-8"), rf"\n{re.escape(name)}: ([^\r\n]*)\r\n", 1)
+    found = F.regexp_extract(F.decode(header, "utf-8"), rf"\n{re.escape(name)}: ([^\r\n]*)\r\n", 1)
     return F.when(found != "", found)
 
 
@@ -85,15 +84,34 @@ def record_bytes() -> Column:
     return F.concat(F.col("header"), body, F.lit((CRLF * 2).encode()))
 
 
+def header_of(record: Column) -> Column:
+    """The header bytes of a record: all up to and with its first empty line."""
+    return F.substr(record, F.lit(1), F.instr(F.decode(record, "iso-8859-1"), CRLF * 2) + 3)
+
+
+def block_of(record: Column, header: Column, length: Column) -> Column:
+    """The block of a record behind its header, of the length that the header states."""
+    return F.substr(record, F.length(header) + 1, length.cast("int"))
+
+
 def write_files(spark: SparkSession, path: str, folder: str) -> DataFrame:
-    """Write the archive's records as WARC files, a file for each task, into a shared folder; returns (file, records)."""
-    from .shared import write_file
+    """Write the archive's records as WARC files, a file for each task, into a shared folder; returns (file, records).
+
+    Files are named by partition and appear whole or not at all, so a task that runs again or twice replaces its
+    own. Read the result once: each reading writes the files.
+    """
+    from .shared import writing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            name = f"{folder}/{uuid.uuid4().hex}.warc"
-            write_file(name, b"".join(batch.column(0).to_pylist()))
-            yield pa.RecordBatch.from_pydict({"file": [name], "records": [len(batch)]})
+        from pyspark import TaskContext
+
+        name, n = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc", 0
+        with writing(name) as f:
+            for batch in batches:
+                for record in batch.column(0):
+                    f.write(record.as_buffer())
+                n += len(batch)
+        yield pa.RecordBatch.from_pydict({"file": [name], "records": pa.array([n], pa.int64())})
 
     return read_archive(spark, path).select(record_bytes().alias("record")).mapInArrow(run, "file string, records long")
 
@@ -109,3 +127,13 @@ def parse_records(data: bytes) -> list[tuple[dict[str, str], bytes]]:
         out.append((fields, data[end + 4 : end + 4 + size]))
         at = end + 4 + size + 4
     return out
+
+
+ORACLE = f"""
+with p as (select page_id, coalesce(html, '') html, octet_length(encode(coalesce(html, ''))) payload_bytes, sha1(encode(coalesce(html, ''))) d, min(page_id) over (partition by coalesce(html, '')) first from pages),
+b as (select *, list_transform([{", ".join(f"substr(d, {5 * i + 1}, 5)" for i in range(8))}], lambda h: cast('0x' || h as int)) n from p)
+select page_id, payload_bytes,
+       array_to_string(list_transform(n, lambda x: substr('{BASE32}', x // 32768 + 1, 1) || substr('{BASE32}', x // 1024 % 32 + 1, 1) || substr('{BASE32}', x // 32 % 32 + 1, 1) || substr('{BASE32}', x % 32 + 1, 1)), '') payload_digest,
+       case when page_id = first then 'response' else 'revisit' end record_type, case when page_id <> first then first end refers_to, true verified, true digest_matches
+from b
+"""
