@@ -163,3 +163,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rest = rows.where("vec is null or id is null").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
     every = own.unionByName(rest)
     return every.select(F.col("id").alias(id_col), F.col("n").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
+
+
+#: For a threshold of 0.9.
+ORACLE = """
+with recursive v as (select vec_id, cast(embedding as double[]) e from embeddings),
+good as (select vec_id, e, list_max(list_transform(e, lambda x: abs(x))) m from v where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+u as (select vec_id, list_transform(e, lambda x: x / m) e from good),
+z as (select vec_id, e, sqrt(list_dot_product(e, e)) l from u),
+ends as (select a.vec_id a, b.vec_id b from z a join z b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where case when len(a.e) = len(b.e) then list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.9e0 else false end),
+reach(a, b) as (select a, b from ends union select r.a, e.b from reach r join ends e on e.a = r.b),
+least_ as (select a, min(b) m from reach group by a),
+n as (select a, count(*) n from ends group by a)
+select vec_id, coalesce(n.n, 0) n_links, least(vec_id, coalesce(m, vec_id)) component_id, vec_id <= coalesce(m, vec_id) kept from v left join n on n.a = vec_id left join least_ t on t.a = vec_id
+"""

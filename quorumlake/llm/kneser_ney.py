@@ -102,6 +102,7 @@ class Model:
     low_discounts: tuple[float, float, float]
     low_total: int
     low_types: tuple[int, int, int]
+    many: int = MANY
 
     @property
     def words(self) -> int:
@@ -150,7 +151,7 @@ class Model:
                 found = counts[i][place].astype(np.int64)
                 if len(large[i]):
                     rows, more = large[i].reshape(-1, 2).T
-                    big = np.flatnonzero(found == MANY)
+                    big = np.flatnonzero(found == self.many)
                     found[big] = more[np.searchsorted(rows, place[big])]
                 out[at] = np.where(own[place] == known[at], found, 0)
         return out[back]
@@ -234,7 +235,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     sizes = [made[k]["words"] if k in made else 0 for k in range(parts)]
     if (sum(sizes) + 1) ** 2 >= 2**64:
         raise OverflowError("too many distinct words for bigram keys of 64 bits")
-    model = Model(folder, parts, shards, sizes, sum(r["tokens"] for r in made.values()), sum(r["texts"] for r in made.values()), (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), 0, (0, 0, 0))
+    model = Model(folder, parts, shards, sizes, sum(r["tokens"] for r in made.values()), sum(r["texts"] for r in made.values()), (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), 0, (0, 0, 0), MANY)
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
@@ -261,8 +262,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         keys = [np.cumsum(_swell(x.as_py(), "<u8"), dtype=np.uint64) for x in table["steps"]]
         keys, counts = _summed(np.concatenate(keys), np.concatenate([_swell(x.as_py(), "<u4") for x in table["counts"]]).astype(np.int64))
         write_file(f"{folder}/pairs-{k}", keys.astype("<u8").tobytes())
-        write_file(f"{folder}/pair-counts-{k}", np.minimum(counts, MANY).astype("<u4").tobytes())
-        large = np.flatnonzero(counts >= MANY)
+        write_file(f"{folder}/pair-counts-{k}", np.minimum(counts, model.many).astype("<u4").tobytes())
+        large = np.flatnonzero(counts >= model.many)
         write_file(f"{folder}/pair-large-{k}", np.stack([large, counts[large]], 1).astype("<i8").tobytes())
         u, w = keys // np.uint64(model.words + 1), keys % np.uint64(model.words + 1)
         rows = [("total", 0, None, None, None, None, [int((counts == c).sum()) for c in (1, 2, 3, 4)])]

@@ -140,8 +140,8 @@ def redact(text: str | None, spans: list[tuple[str, int, int, float]]) -> str |
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
 
-def annotate(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_spans", clean_col: str = "pii_clean_text") -> DataFrame:
-    """docs with spans_col array<struct<kind, start, end, score>> and clean_col, the text with spans replaced by <KIND>.
+def annotate(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_spans", clean_col: str | None = "pii_clean_text") -> DataFrame:
+    """docs with spans_col array<struct<kind, start, end, score>> and, unless it is None, clean_col, the text with spans replaced by <KIND>.
 
     Rows and other columns stay; columns with these two names are replaced. Null texts have no
     spans and stay null. Spans are code points, end exclusive; a long text is searched whole.
@@ -151,17 +151,17 @@ def annotate(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_span
     rest = [c for c in docs.columns if c not in (spans_col, clean_col)]
     own = docs.select(*rest)
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in own.schema)
-    at = rest.index(text_col)
+    at, added = rest.index(text_col), [clean_col] if clean_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             found = [find_spans(t) for t in texts]
             spans = pa.array([[dict(zip(("kind", "start", "end", "score"), x, strict=True)) for x in f] for f in found], pa.list_(_SPAN))
-            clean = pa.array([redact(t, f) for t, f in zip(texts, found, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, spans, clean], [*rest, spans_col, clean_col])
+            clean = [pa.array([redact(t, f) for t, f in zip(texts, found, strict=True)], pa.string())] if clean_col else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, spans, *clean], [*rest, spans_col, *added])
 
-    return own.mapInArrow(run, f"{kinds}, `{spans_col}` array<struct<kind string, start long, end long, score double>>, `{clean_col}` string")
+    return own.mapInArrow(run, f"{kinds}, `{spans_col}` array<struct<kind string, start long, end long, score double>>" + (f", `{clean_col}` string" if clean_col else ""))
 
 
 def span_list(spans: str, kinds: tuple[str, ...] | None = None):

@@ -314,3 +314,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("component").alias("component_id"),
         F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"),
     )
+
+
+#: For two-word shingles and 80 percent.
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+sh as (select distinct doc_id, unnest(case len(ws) when 0 then [] when 1 then [ws[1]] else list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) end) s from w),
+n as (select doc_id, count(*) n from sh group by doc_id),
+shared_ as (select a.doc_id x, b.doc_id y, count(*) c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select x, y from shared_ join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)),
+ends as (select x a, y b from links union all select y, x from links),
+reach(a, b) as (select a, b from ends union select r.a, e.b from reach r join ends e on e.a = r.b),
+least_ as (select a, min(b) m from reach group by a)
+select w.doc_id, coalesce(n.n, 0) n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) component_id, w.doc_id <= coalesce(m, w.doc_id) kept
+from w left join n on n.doc_id = w.doc_id left join least_ on a = w.doc_id
+"""

@@ -20,6 +20,7 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_registered: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,8 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder; it is deleted when the driver's process ends."""
     path = f"{shared_dir(spark)}/quorumlake-{what}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clean)
+    if not _registered:
+        _registered.append(atexit.register(_clean))
     _made.append((spark, path))
     return path
 
@@ -53,12 +54,29 @@ def _clean() -> None:
             delete(spark, path)
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends here, and a lost executor costs nothing that is done."""
+def made() -> list[str]:
+    """The paths that new_folder has given out and that still stand."""
+    return [path for _, path in _made]
+
+
+def clear(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of new_folder that nothing reads any more."""
+    gone = set(paths)
+    for path in paths:
+        delete(spark, path)
+    _made[:] = [x for x in _made if x[1] not in gone]
+
+
+def cut_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """Write df as a table in the shared folder and read it again, with its path: lineage ends here, and a lost executor costs nothing that is done."""
     spark = df.sparkSession
     path = new_folder(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, what: str) -> DataFrame:
+    return cut_at(df, what)[0]
 
 
 #: Rows of a batch between Spark and Python: texts are some KB each, and each Python stage of a task holds a batch on either side.

@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quorumlake.llm import ann, bpe, components, embed_dedup, kneser_ney, line_dedup, packing, pii, queries, setsketch, shared, toxicity, warc, words
@@ -100,13 +101,61 @@ def test_components(spark, edges):
 
 
 def test_toxicity_held_out(spark, sf):
-    d = sf.replace("0.001", "0.01")
+    """Found and wrongly accused among the held-out labels."""
+    d = sf.replace("0.001", "0.1")
     got = {r["doc_id"]: r for r in queries.op1_toxicity(spark, d).collect()}
     labels = dict(duckdb.sql(f"select doc_id, toxic from '{d}/labels.parquet'").fetchall())
     assert len(got) == duckdb.sql(f"select count(*) from '{d}/documents.parquet'").fetchall()[0][0]
     held = [(r["predicted"], labels[i]) for i, r in got.items() if r["held_out"] and i in labels]
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for i, r in got.items())
-    assert sum(a == b for a, b in held) / len(held) > 0.93
+    toxic, caught = sum(y for _, y in held), sum(p and y for p, y in held)
+    assert toxic > 50 and caught >= 0.85 * toxic and caught >= 0.9 * sum(p for p, _ in held)
+
+
+def test_toxicity_by_brute_force(spark, sf):
+    """The features, the optimum and the scores, recomputed plainly from the labelled texts."""
+    d = sf.replace("0.001", "0.01")
+    rows = [r for r in duckdb.sql(f"select doc_id, text, toxic from '{d}/documents.parquet' join '{d}/labels.parquet' using (doc_id) where toxic is not null order by 1").fetchall() if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    model = queries.toxicity_model(spark, d)
+
+    def features(text):
+        words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        return words | {w[:n] + "*" for w in words for n in toxicity.BEGINNINGS if len(w) > n} if "*" in next(iter(f for f in model.weights if not f.isalpha()), "*") else set().union(*map(toxicity.word_features, words), set())
+
+    sets, y = [features(t) for _, t, _ in rows], np.array([int(x > 0) for *_, x in rows], float)
+    n, pos = Counter(f for s in sets for f in s), Counter(f for s, v in zip(sets, y, strict=True) if v for f in s)
+    rate = y.mean()
+    z = {f: (pos[f] - c * rate) / math.sqrt(c * rate * (1 - rate) + 1e-9) for f, c in n.items() if c >= toxicity.LEAST_ROWS}
+    chosen = sorted((f for f in z if abs(z[f]) >= toxicity.LEAST_Z), key=lambda f: (-abs(z[f]), f))[: toxicity.FEATURES]
+    assert set(model.weights) <= set(chosen) and len(model.weights) > 0.9 * len(chosen)
+    for (_, t, _), s in list(zip(rows, sets, strict=True))[:200]:
+        assert math.isclose(model.score(t), 1 / (1 + math.exp(-np.clip(model.bias + sum(model.weights.get(f, 0.0) for f in s), -30, 30))), rel_tol=1e-9)
+    # no small step makes the objective better, so it is the optimum
+    w = np.array([model.weights.get(f, 0.0) for f in chosen])
+    x = np.array([[f in s for f in chosen] for s in sets], float)
+    apart = []
+    for (_, t, _), own in zip(rows, x, strict=True):
+        other = toxicity.swapped(t) if t else None
+        if other is not None:
+            delta = own - np.array([f in features(other) for f in chosen], float)
+            if delta.any():
+                apart.append(delta)
+    for group in toxicity.IDENTITY_TERMS:
+        for i, a in enumerate(group):
+            for b in group[i + 1 :]:
+                delta = np.array([(f in features(a)) - (f in features(b)) for f in chosen], float)
+                if delta.any():
+                    apart.append(delta)
+    apart = np.array(apart).reshape(-1, len(chosen))
+
+    def objective(w, bias):
+        m = x @ w + bias
+        return np.mean(np.logaddexp(0, m) - y * m) + toxicity.RIDGE / math.sqrt(len(y)) * (w @ w) / 2 + (toxicity.SAME * np.mean((apart @ w) ** 2) / 2 if len(apart) else 0)
+
+    best, rng = objective(w, model.bias), np.random.default_rng(0)
+    for _ in range(50):
+        step = rng.normal(0, 0.01, len(w))
+        assert objective(w + step, model.bias + rng.normal(0, 0.01)) > best - 1e-7
 
 
 def test_toxicity_counterfactuals(spark, odd):
@@ -144,6 +193,7 @@ def test_pii(spark, sf, odd):
     assert [g[0] for g in got] == ["iban", "national_phone", "national_phone", "email", "email"]
     assert pii.redact("mail x@y.zz now", pii.find_spans("mail x@y.zz now")) == "mail <EMAIL> now"
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB83WEST12345698765432")
+    assert "pii_clean_text" not in pii.annotate(odd, clean_col=None).columns
     rows = pii.annotate(odd).collect()
     assert len(rows) == len(ODD) and rows[0]["pii_clean_text"] is None and set(odd.columns) < set(rows[0].asDict())
 
@@ -259,6 +309,14 @@ def test_language_model_odd(spark, odd):
         assert len(rows) == len(ODD) and all(math.isfinite(r["score"]) for r in rows) and min(r["n_tokens"] for r in rows) == 1
 
 
+def test_language_model_large_counts(spark, monkeypatch):
+    """Counts that don't fit the table of bigrams stand in one of their own."""
+    docs = spark.createDataFrame([(i, "a b a b c" if i % 3 else "b a") for i in range(30)], "doc_id long, text string")
+    want = sorted(map(tuple, kneser_ney.score(docs, kneser_ney.fit(docs)).collect()))
+    monkeypatch.setattr(kneser_ney, "MANY", 5)
+    assert sorted(map(tuple, kneser_ney.score(docs, kneser_ney.fit(docs)).collect())) == want
+
+
 def test_line_dedup(spark, sf, odd):
     want = duckdb.connect()
     want.sql(f"create view documents as select * from '{sf}/documents.parquet'")
@@ -291,7 +349,16 @@ def test_warc(spark, sf, tmp_path):
     warc.write_archive(odd, f"{tmp_path}/a")
     records = sorted((warc.parse_records(bytes(r[0]))[0] for r in warc.read_archive(spark, f"{tmp_path}/a").select(warc.record_bytes()).collect()), key=lambda x: x[0]["WARC-Record-ID"])
     assert [(f["WARC-Type"], len(b)) for f, b in records] == [("response", 0), ("revisit", 0), ("response", 20), ("revisit", 0), ("revisit", 0), ("response", len(LONG.encode())), ("revisit", 0)]
-    assert warc.write_files(spark, f"{tmp_path}/a", f"file://{tmp_path}/files").agg(F.sum("records")).first()[0] == len(rows)
+    headers = {bytes(r["header"]) for r in warc.read_archive(spark, f"{tmp_path}/a").collect()}
+    sha = base64.b32encode(hashlib.sha1(b"").digest()).decode()
+    common = f"WARC-Date: {warc.DATE}\r\n"
+    assert f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\n{common}WARC-Payload-Digest: sha1:{sha}\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: 0\r\n\r\n".encode() in headers
+    revisit = f"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:page:2>\r\n{common}WARC-Target-URI: http://a%0D%0AX: y\r\nWARC-Payload-Digest: sha1:{sha}\r\nWARC-Refers-To: <urn:page:1>\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nContent-Length: 0\r\n\r\n"
+    assert revisit.encode() in headers
+    for _ in range(2):  # a task that runs again replaces its file
+        assert warc.write_files(spark, f"{tmp_path}/a", f"file://{tmp_path}/files").agg(F.sum("records")).first()[0] == len(rows)
+    written = sorted((f["WARC-Record-ID"], f["WARC-Type"], b) for p in (tmp_path / "files").iterdir() for f, b in warc.parse_records(p.read_bytes()))
+    assert written == sorted((f["WARC-Record-ID"], f["WARC-Type"], b) for f, b in records)
     warc.write_archive(odd.limit(0), f"{tmp_path}/b")
     assert warc.read_archive(spark, f"{tmp_path}/b").count() == 0
 
@@ -476,3 +543,14 @@ def test_estimates():
     value, bound = ann.estimate(y, *ann.encode(x))
     error = value - y @ x.T
     assert abs(error.mean()) < 0.3 and (np.abs(error) <= bound).mean() > 0.97 and error.std() < 0.8 * (y @ x.T).std()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, sf, name):
+    """Queries against their SQL."""
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want, got = con.sql(queries.ORACLE_SQL[name]), queries.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(str(Row(**dict(zip(want.columns, r, strict=True)))) for r in want.fetchall())
