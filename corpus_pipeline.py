@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.llm import line_dedup, packing, pii, setsketch, toxicity
 from quorumlake.llm.queries import TOXIC, toxicity_model
-from quorumlake.llm.shared import cut, hold_batches, ship
+from quorumlake.llm.shared import clear, cut, cut_at, hold_batches, made, ship
 
 
 def _prepare(spark: SparkSession) -> None:
@@ -32,10 +32,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id."""
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id.
+
+    Of rows that share this id the least row stays. Rows with a null id are linked with nothing and stay.
+    """
     _prepare(spark)
-    kept = setsketch.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__ql_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__ql_id")), "left_semi")
+    found = cut(setsketch.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("__ql_id")).agg(F.count("*").alias("__ql_rows")), "kept")
+    own = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__ql_id")), "left_semi")
+    several = found.where("__ql_rows > 1 and __ql_id is not null").select("__ql_id")
+    if several.isEmpty():
+        return own
+    here = F.col("doc_id") == F.col("__ql_id")
+    least = own.join(several, here, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("__ql_row")).select("__ql_row.*")
+    return own.join(several, here, "left_anti").unionByName(least)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +64,13 @@ STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("near
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces. Each stage's table is deleted, with all that the stage wrote on its way, once the next one stands."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        before = set(made())
+        docs, path = cut_at(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        clear(spark, last + [p for p in made() if p not in before and p != path])
+        last = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
