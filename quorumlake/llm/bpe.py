@@ -19,10 +19,11 @@ from pyarrow import compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import release
 from .words import LONGEST, hash_segments, segment_sums, text_bytes
 
 #: Bytes of text in a block, about, and blocks for each bucket of the word table: both follow from the data, never from the session.
-BLOCK, BLOCKS_A_BUCKET = 32 << 20, 4
+BLOCK, BLOCKS_A_BUCKET = 8 << 20, 4
 #: Words whose ids a worker remembers (it starts anew beyond that), and words encoded at once.
 REMEMBERED, AT_ONCE = 2_000_000, 20_000
 #: Bytes of text split at once, and ids decoded at once.
@@ -291,8 +292,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def listed(table: pa.Table) -> pa.Table:
         lists = [words.unique() for _, texts in _texts(table) for words, _ in split_words(texts)]
         words, bounds = _dealt(lists, buckets)
+        del lists
         full = np.flatnonzero(np.diff(bounds)).tolist()
         blobs = [_squeeze("\n".join(words.slice(bounds[i], bounds[i + 1] - bounds[i]).to_pylist()).encode()) for i in full]
+        release()
         return pa.table({"block": pa.array([table["block"][0].as_py()] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "words": pa.array(blobs, pa.binary())})
 
     def encoded(table: pa.Table) -> pa.Table:
@@ -307,6 +310,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             ids, n = _gathered(flat, starts, sizes, at[begin : begin + len(words)])
             begin += len(words)
             blobs.append((_squeeze(n.astype("<u4").tobytes()), _squeeze(ids.astype(kind).tobytes())))
+        del lists, known, flat, at
+        release()
         return pa.table({"block": table["block"], "bucket": table["bucket"], "sizes": pa.array([b[0] for b in blobs], pa.binary()), "ids": pa.array([b[1] for b in blobs], pa.binary()), "kind": pa.array([kind] * len(blobs))})
 
     table = packed.groupBy("block").applyInArrow(listed, "block int, bucket int, words binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(encoded, "block int, bucket int, sizes binary, ids binary, kind string")
@@ -332,6 +337,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 out.append(pa.record_batch([pa.array(doc_ids[begin : begin + len(counts)], pa.int64()), lists], ["id", "ids"]))
                 begin += len(counts)
+        del groups, lists, words, places, flat, sizes
+        release()
         return pa.Table.from_batches(out, pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
     out = packed.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(placed, "id long, ids array<int>")

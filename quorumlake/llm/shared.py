@@ -96,6 +96,17 @@ def hold_batches(spark: SparkSession, rows: int = BATCH) -> str:
     return before
 
 
+def release() -> None:
+    """Give back what a worker's allocators hold but don't use: workers live on between tasks, several to a core."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _shipped: set[str] = set()
 
 
@@ -154,9 +165,11 @@ def file_exists(path: str) -> bool:
 
 
 def map_file(path: str, dtype: str):
-    """A file of numbers, memory-mapped. One in a remote store is first copied to an unlinked local file."""
+    """A file of numbers, memory-mapped; without a file, no numbers. One in a remote store is first copied to an unlinked local file."""
     import numpy as np
 
+    if not file_exists(path):
+        return np.zeros(0, dtype)
     if (at := local_path(path)) is not None:
         return np.memmap(at, dtype, "r") if os.path.getsize(at) else np.zeros(0, dtype)
     from pyarrow import fs
