@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import ann, bpe, embed_dedup, kneser_ney, line_dedup, packing, pii, setsketch, toxicity, warc
 from .shared import hold_batches, new_folder, ship
 
+#: Words in an n-gram of op4's model.
+ORDER = 2
 #: Score from which a text counts as toxic.
 TOXIC = 0.3
 
@@ -50,7 +52,7 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = kneser_ney.fit(documents.where(~_fold(7)))
+    model = kneser_ney.fit(documents.where(~_fold(7)), order=ORDER)
     scored = kneser_ney.score(documents, model)
     return scored.select("doc_id", _fold(7).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 

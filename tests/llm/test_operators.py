@@ -303,6 +303,50 @@ def test_language_model(spark, sf):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def kneser_ney_by_hand(train, order):
+    """(probability of a word after order - 1 others, as a function) from tokenised texts that end in their end."""
+    start, grams = ("start",), [Counter() for _ in range(order + 1)]
+    for w in train:
+        padded = [start] * (order - 1) + w
+        grams[order].update(tuple(padded[i : i + order]) for i in range(len(w)))
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    cuts = [None, *(kneser_ney.discounts([sum(c == n for c in g.values()) for n in (1, 2, 3, 4)]) for g in grams[1:])]
+    sums, left = [[Counter() for _ in range(order + 1)] for _ in range(2)]
+    for k in range(1, order + 1):
+        for g, c in grams[k].items():
+            sums[k][g[:-1]] += c
+            left[k][g[:-1]] += cuts[k][min(c, 3) - 1]
+    types = len(grams[1])
+
+    def p(context, w):
+        out = 1 / (types + 1)
+        for k in range(1, order + 1):
+            h = tuple(context[len(context) - k + 1 :])
+            if sums[k][h]:
+                c = grams[k][(*h, w)]
+                out = max(c - (cuts[k][min(c, 3) - 1] if c else 0), 0) / sums[k][h] + left[k][h] / sums[k][h] * out
+        return out
+
+    return p, [w[0] for w in grams[1]]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_orders(spark, sf, order):
+    rows = texts(sf, "where doc_id < 60")
+    end, start = ("end",), ("start",)
+    train = [[*tokens(t), end] for i, t in rows if i % 3]
+    p, words_ = kneser_ney_by_hand(train, order)
+    some = train[0][: order - 1]
+    assert abs(sum(p(some, w) for w in words_) + p(some, "unseen-") - 1) < 1e-9
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in kneser_ney.score(frame, kneser_ney.fit(frame.where("doc_id % 3 <> 0"), order=order)).collect()}
+    for i, t in rows:
+        w = [start] * (order - 1) + [*tokens(t), end]
+        want = sum(math.log10(p(w[k - order + 1 : k], w[k])) for k in range(order - 1, len(w)))
+        assert math.isclose(got[i], want, rel_tol=1e-9)
+
+
 def test_language_model_odd(spark, odd):
     for docs in (odd, odd.limit(0)):
         rows = kneser_ney.score(odd, kneser_ney.fit(docs)).collect()
