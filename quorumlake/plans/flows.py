@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorumlake.functions import reports
+from quorumlake.plans import refresh
 from quorumlake.plans.registry import query
 from quorumlake.sources import files
 from quorumlake.sources.domain import Domain
@@ -173,3 +177,28 @@ def _send(method: str, url: str, body: str | None) -> tuple[int, str | None, byt
 def answers_fetched(d):
     k = F.col("event_id")
     return files.fetched(d.table("events").select(k.alias("id"), F.lit("get").alias("method"), F.concat(F.lit("https://api.example/"), k.cast("string")).alias("url"), F.when(k % 7 == 0, "x").alias("body")), _send)
+
+
+def _model(question: str) -> str:
+    """Answers without a network; papers whose title begins with E get none."""
+    if "Title: E" in question:
+        raise ValueError("no service")
+    if "rigor of this" in question:
+        return "```json\n" + json.dumps(dict.fromkeys(reports.AXES, 9.0)) + "\n```"
+    return '{"verdict": "endorse", "confidence": 0.8}'
+
+
+@query(f"""select id paper_id, revision_count revision_number, case when bad then floor(greatest(1e0, least(9e0, 4e0 + log10(greatest(length(body) + length(abstract), 1)) + least(len(refs), 6) * 0.3e0)) * 100 + 0.5) / 100e0 else 9e0 end rigor_score,
+ case when bad then 0.5e0 else 1e0 end survey_confidence, 5 passes, case when bad then '{reports.CONSENSUS["waiting"]}' else '{reports.CONSENSUS["endorse"]}' end consensus from (select *, title like 'E%' bad from papers)""")
+def reports_made(d):
+    made = refresh.make_reports(d.papers(), _model, F.lit(0), retries=0)
+    return made.select("paper_id", "revision_number", "rigor_score", "survey_confidence", F.size("survey.passes").alias("passes"), F.col("survey.consensus").alias("consensus"))
+
+
+TABLES = ("customer", "documents", "events", "lineitem", "orders")
+
+
+@query("select unnest(['customer', 'documents', 'events', 'lineitem', 'orders']) as name")
+def files_discovered(d):
+    found = files.discover(d.spark, d.dir, "*.parquet").select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"))
+    return found.where(F.col("name").isin(*TABLES))

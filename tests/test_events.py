@@ -110,3 +110,13 @@ def test_held_and_together():
     held.define("b", lambda: Table("b") if held.get("a") else None, "a")
     held.get("b"), held.get("b")
     assert held.changed("b") == ["b"] and held.changed("a") == ["a"] and made.count("b") == 1
+
+
+def test_database_table(spark, tmp_path):
+    """A table of the database that comes with Spark, whole and in partitions."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.range(100).selectExpr("cast(id as int) id", "cast(id % 7 as int) n").write.format("jdbc").options(url=url, dbtable="t", driver=driver).save()
+    whole = files.jdbc_table(spark, url, "t", driver=driver)
+    parts = files.jdbc_table(spark, url, "t", "id", (0, 50), 4, driver=driver)
+    assert whole.count() == 100 and parts.rdd.getNumPartitions() == 4 and sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
