@@ -31,7 +31,7 @@ _rng = np.random.Generator(np.random.PCG64(77))
 _FLIP = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2)
 _ODD = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Members of a bucket that are compared with each other at once.
-PART_OF_BUCKET = 512
+PART_OF_BUCKET = 256
 #: Set elements worked on at once, and pairs.
 PART, PAIRS = 1 << 15, 8192
 #: Bytes of full sets in a part of their store, at most about, and at least where there are fewer parts than the session shuffles into.
@@ -278,7 +278,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = classes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * size + 1, F.lit(size))))).alias("band", "key"))
     hubs = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("hub"), F.min_by("rep", F.xxhash64("rep")).alias("other")).where("members > 1").drop("members")
     live = cut(bands.join(hubs, "key"), "buckets")
-    wanted = live.select("rep").distinct()
+    # stored, so that its size is known before it is joined: while that is small no text is shuffled
+    wanted = cut(live.select("rep").distinct(), "wanted")
     cards = cut(classes.join(wanted, "rep", "left_semi").select("rep", "n", "regs"), "cards")
     sets = store_sets(texts.join(wanted.withColumnRenamed("rep", "id"), "id", "left_semi"), shingle, cards.agg(F.sum("n")).first()[0] or 0)
 
