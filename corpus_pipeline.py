@@ -37,12 +37,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows that share this id the least row stays. Rows with a null id are linked with nothing and stay.
     """
     _prepare(spark)
-    found = cut(setsketch.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("__ql_id")).agg(F.count("*").alias("__ql_rows")), "kept")
-    own = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__ql_id")), "left_semi")
-    several = found.where("__ql_rows > 1 and __ql_id is not null").select("__ql_id")
+    found = cut(setsketch.near_duplicates(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("__ql_id")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows")), "found")
+    here = F.col("doc_id") == F.col("__ql_id")
+    # those that go are fewer than those that stay; stored, so that Spark knows by their size how to join them
+    gone = cut(found.where("not kept").select("__ql_id"), "gone")
+    own = docs.join(gone, here, "left_anti")
+    several = cut(found.where("kept and rows > 1").select("__ql_id"), "several")
     if several.isEmpty():
         return own
-    here = F.col("doc_id") == F.col("__ql_id")
     least = own.join(several, here, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("__ql_row")).select("__ql_row.*")
     return own.join(several, here, "left_anti").unionByName(least)
 
