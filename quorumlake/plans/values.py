@@ -211,12 +211,11 @@ def values_shown(d):
 
 
 @query("""select event_id id, case when m < 1 then 'less than a minute' when m < 45 then m || ' minute' || case when m = 1 then '' else 's' end when m < 90 then 'about 1 hour'
- when m < 1440 then 'about ' || cast(floor(m / 60e0 + 0.5) as bigint) || ' hour' || case when floor(m / 60e0 + 0.5) = 1 then '' else 's' end when m < 2520 then '1 day' else cast(floor(m / 1440e0 + 0.5) as bigint) || ' days' end || ' ago' ago
- from (select event_id, cast(floor(epoch_ms(timestamp '2024-01-31' - date_trunc('second', ts)) / 60000e0 + 0.5) as bigint) m from (select event_id, ts from events)) where m < 43200""".replace("epoch_ms(timestamp '2024-01-31' - date_trunc('second', ts)) / 60000e0", "(epoch(timestamp '2024-01-31') - floor(epoch(ts))) / 60e0"))
+ when m < 1440 then 'about ' || cast(floor(m / 60e0 + 0.5) as bigint) || ' hour' || case when floor(m / 60e0 + 0.5) = 1 then '' else 's' end when m < 2520 then '1 day' when m < 43200 then cast(floor(m / 1440e0 + 0.5) as bigint) || ' days'
+ else 'about ' || cast(floor(m / 43200e0 + 0.5) as bigint) || ' month' || case when floor(m / 43200e0 + 0.5) = 1 then '' else 's' end end || ' ago' ago
+ from (select event_id, cast(floor((epoch(timestamp '2024-01-31') - floor(epoch(ts))) / 60e0 + 0.5) as bigint) m from events)""")
 def times_ago(d):
-    rows = _events(d).select(_id(), "ts", text.time_ago(F.col("ts"), F.expr("timestamp_ntz'2024-01-31 00:00:00'")).alias("ago"))
-    minutes = (F.unix_seconds(F.expr("timestamp'2024-01-31 00:00:00'")) - F.unix_seconds(F.col("ts").cast("timestamp"))) / 60.0
-    return rows.where(F.floor(minutes + 0.5) < 43200).select("id", "ago")
+    return _events(d).select(_id(), text.time_ago(F.col("ts"), F.expr("timestamp_ntz'2024-01-31 00:00:00'")).alias("ago"))
 
 
 HEADS = ("52494646", "1A45DFA3", "494433FF", "FFFB9064", "FFE00000", "4F676753", "00000000")
@@ -256,10 +255,10 @@ def error_lists(d):
     return _events(d).select(_id(), F.array_join(text.error_lines(raw), "|").alias("lines"))
 
 
-@query("""select event_id id, strftime(ts, '%b') as month, case when event_id >= 1000 then cast(event_id // 1000 as varchar) || ',' || lpad(cast(event_id % 1000 as varchar), 3, '0') else cast(event_id as varchar) end n, cast(event_id % 11 as varchar) || '.0 / 10' score, 2 - cast(event_id % 2 = 0 as int) entries from events where event_id < 1000000""")
+@query("""select event_id id, strftime(ts, '%b') as month, format('{:,}', event_id * 1001) n, cast(event_id % 11 as varchar) || '.0 / 10' score, 2 - cast(event_id % 2 = 0 as int)  entries from events""")
 def chart_values(d):
     payload = F.array(F.struct(F.lit("line").alias("type"), F.lit("a").alias("name")), F.struct(F.when(_number() % 2 == 0, "none").otherwise("bar").alias("type"), F.lit("b").alias("name")))
-    return _events(d).where("event_id < 1000000").select(_id(), text.month_label(F.col("ts")).alias("month"), text.grouped_number(_number()).alias("n"), text.score_label((_number() % 11).cast("double")).alias("score"), F.size(text.shown_entries(payload)).alias("entries"))
+    return _events(d).select(_id(), text.month_label(F.col("ts")).alias("month"), text.grouped_number(_number() * 1001).alias("n"), text.score_label((_number() % 11).cast("double")).alias("score"), F.size(text.shown_entries(payload)).alias("entries"))
 
 
 @query(f"select id, title ilike '%a_b%' or abstract ilike '%A%' hit, timestamp '{AS_OF}' - created_at > interval 14 days old from papers")
