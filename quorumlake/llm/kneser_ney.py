@@ -13,6 +13,7 @@ the counts after it and how many of them are one, two, or more.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +28,11 @@ from .words import hash_words, mix
 #: The hash of a text's end.
 END = mix(np.array([0x656E64], np.uint64))[0]
 #: Documents counted or scored at once.
-SLICE = 4000
-#: Bytes of text for each part of the vocabulary, about, and shards of n-grams for each part: their numbers follow from the data.
-PART_BYTES, SHARDS = 64 << 20, 4
+SLICE = 2000
+#: Bytes of text for each part of the vocabulary and for each shard of n-grams, about, and the least numbers of both: they follow from the data alone.
+PART_BYTES, SHARD_BYTES, LEAST_PARTS, LEAST_SHARDS = 128 << 20, 4 << 20, 8, 32
+#: Files that a worker has mapped at most.
+MAPS = 16_384
 #: A count from here on stands in a table of its own, with 64 bits.
 MANY = 2**32 - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -111,17 +114,24 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
         yield pa.concat_arrays(rest)
 
 
-_opened: dict[str, list[np.ndarray]] = {}
+_opened: OrderedDict[str, np.ndarray] = OrderedDict()
 
 
-def _mapped(folder: str, name: str, parts: int, dtype: str) -> list[np.ndarray]:
-    """The arrays of all parts, mapped once for each worker and model."""
-    key = f"{folder}/{name}"
-    if key not in _opened:
-        if len(_opened) > 40:
-            _opened.clear()
-        _opened[key] = [map_file(f"{key}-{i}", dtype) for i in range(parts)]
-    return _opened[key]
+class _Files:
+    """The arrays of all parts, each mapped when it is first asked for; of more than MAPS those unused for longest go."""
+
+    def __init__(self, folder: str, name: str, dtype: str):
+        self.path, self.dtype = f"{folder}/{name}", dtype
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        key = f"{self.path}-{i}"
+        if key in _opened:
+            _opened.move_to_end(key)
+        else:
+            if len(_opened) >= MAPS:
+                _opened.popitem(last=False)
+            _opened[key] = map_file(key, self.dtype)
+        return _opened[key]
 
 
 @dataclass
@@ -150,9 +160,10 @@ class Model:
         out = np.full(len(known), -1, np.int64)
         bounds = np.searchsorted(_part_of(known, self.parts), np.arange(self.parts + 1))
         first = np.concatenate([[0], np.cumsum(self.sizes)])
-        for i, own in enumerate(_mapped(self.folder, "words", self.parts, "<u8")):
-            part = known[bounds[i] : bounds[i + 1]]
-            if len(part) and len(own):
+        files = _Files(self.folder, "words", "<u8")
+        for i in np.flatnonzero(np.diff(bounds)).tolist():
+            part, own = known[bounds[i] : bounds[i + 1]], files[i]
+            if len(own):
                 at = np.minimum(np.searchsorted(own, part), len(own) - 1)
                 out[bounds[i] : bounds[i + 1]] = np.where(own[at] == part, at + first[i], -1)
         return out[back]
@@ -168,9 +179,10 @@ class Model:
         out = np.zeros((len(numbers), width), np.int64)
         order, first = np.argsort(numbers, kind="stable"), self.firsts()
         bounds = np.searchsorted(numbers[order], first)
-        for i, own in enumerate(_mapped(self.folder, name, self.parts, "<i8")):
-            at = order[bounds[i] : bounds[i + 1]]
-            if len(at) and len(own):
+        files = _Files(self.folder, name, "<i8")
+        for i in np.flatnonzero(np.diff(bounds)).tolist():
+            at, own = order[bounds[i] : bounds[i + 1]], files[i]
+            if len(own):
                 out[at] = own.reshape(-1, width)[numbers[at] - first[i]]
         return out
 
@@ -202,7 +214,7 @@ class Model:
 
     def _looked_up(self, name: str, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(shard, which of keys it has, their places there)."""
-        tables = _mapped(self.folder, name, self.shards, "<u8")
+        tables = _Files(self.folder, name, "<u8")
         for i, at in self._sharded(keys):
             own = tables[i]
             if len(own):
@@ -214,7 +226,7 @@ class Model:
         """Counts of n-grams of k words."""
         known, back = np.unique(keys, return_inverse=True)
         out = np.zeros(len(known), np.int64)
-        counts, large = _mapped(self.folder, f"counts{k}", self.shards, "<u4"), _mapped(self.folder, f"large{k}", self.shards, "<i8")
+        counts, large = _Files(self.folder, f"counts{k}", "<u4"), _Files(self.folder, f"large{k}", "<i8")
         for i, at, place in self._looked_up(f"grams{k}", known):
             found = counts[i][place].astype(np.int64)
             if len(large[i]):
@@ -231,7 +243,7 @@ class Model:
         k = len(columns) + 1
         known, back = np.unique(self.key(columns), return_inverse=True)
         out = np.zeros((len(known), 4), np.int64)
-        values = _mapped(self.folder, f"after{k}", self.shards, "<i8")
+        values = _Files(self.folder, f"after{k}", "<i8")
         for i, at, place in self._looked_up(f"contexts{k}", known):
             out[at] = values[i].reshape(-1, 4)[place]
         return out[back]
@@ -290,7 +302,8 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 3) -> Model:
     folder = new_folder(spark, "ngrams")
     texts = docs.select(F.col(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    parts, shards = max(LEAST_PARTS, -(-size // PART_BYTES)), max(LEAST_SHARDS, -(-size // SHARD_BYTES))
+    tasks = -(-shards // 2)
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
@@ -317,7 +330,7 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 3) -> Model:
     sizes = [made[k]["words"] if k in made else 0 for k in range(parts)]
     if sum(sizes) + 1 >= 2**32:
         raise OverflowError("too many distinct words for bigram keys of 64 bits")
-    model = Model(folder, order, parts, SHARDS * parts, sizes, sum(r["tokens"] for r in made.values()), sum(r["texts"] for r in made.values()), [(0.5, 1.0, 1.5)] * order, many=MANY)
+    model = Model(folder, order, parts, shards, sizes, sum(r["tokens"] for r in made.values()), sum(r["texts"] for r in made.values()), [(0.5, 1.0, 1.5)] * order, many=MANY)
     first = model.firsts()
 
     def to_shards(columns: list[np.ndarray]) -> np.ndarray:
@@ -382,7 +395,7 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 3) -> Model:
 
     rows = texts.mapInArrow(counted, _KINDS)
     for k in range(order, 1, -1):
-        rows = rows.repartition(parts, "shard").groupBy("shard").applyInArrow(level(k), _KINDS)
+        rows = rows.repartition(tasks, "shard").groupBy("shard").applyInArrow(level(k), _KINDS)
     # a few numbers for each part
     told = rows.repartition(parts, "kind", "shard").groupBy("kind", "shard").applyInArrow(tables_of, _KINDS).select("kind", "shard", "n").collect()
     low = np.array([r["n"] for r in told if r["kind"] == "gram"]).sum(0).tolist() if told else []
