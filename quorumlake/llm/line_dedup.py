@@ -46,7 +46,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # one byte for each line up to the last that goes: 0 stays, 1 goes; each line that goes brings those since the one before it
     steps = F.transform("gone", lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.coalesce(F.get("gone", i - 1), F.lit(-1)) - 1), F.lit("1")))
     masks = merged.select(F.col("__ql_key").alias("__ql_at"), F.encode(F.array_join(steps, ""), "utf-8").alias("__ql_mask"))
-    masks = cut(masks, "masks")  # stored, so that Spark knows their size: while they are small no text is shuffled
     joined = keyed.join(masks, F.col("__ql_key").eqNullSafe(F.col("__ql_at")), "left")
     kept = F.filter(lines, lambda _, i: (i >= F.length("__ql_mask")) | (F.substring(F.col("__ql_mask"), i + 1, F.lit(1)) == F.lit(bytearray(b"0"))))
     out = joined.withColumn("__ql_kept", F.when(F.col("__ql_mask").isNotNull(), kept))
