@@ -30,7 +30,7 @@ END = mix(np.array([0x656E64], np.uint64))[0]
 #: Documents counted or scored at once.
 SLICE = 2000
 #: Bytes of text for each part of the vocabulary and for each shard of n-grams, about, and the least numbers of both: they follow from the data alone.
-PART_BYTES, SHARD_BYTES, LEAST_PARTS, LEAST_SHARDS = 128 << 20, 4 << 20, 8, 32
+PART_BYTES, SHARD_BYTES, LEAST_PARTS, LEAST_SHARDS = 16 << 20, 4 << 20, 8, 32
 #: Files that a worker has mapped at most.
 MAPS = 16_384
 #: A count from here on stands in a table of its own, with 64 bits.
