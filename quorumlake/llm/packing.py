@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Remembered, vocabulary_path
-from .shared import cut
+from .shared import cut, release
 
 CAPACITY = 4096
 END = 2
@@ -44,6 +44,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 at += len(n)
                 columns = [*zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int32()) if k == "ids" else pa.int64()) for c, k in zip(columns, names, strict=True)], names)
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids)

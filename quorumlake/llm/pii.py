@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import release
+
 #: In the order in which spans of one start are listed. The first four are the base kinds; the others only add spans.
 KINDS = ("email", "ip", "card", "phone", "iban", "national_phone", "us_ssn")
 BASE_KINDS = KINDS[:4]
@@ -160,6 +162,7 @@ def annotate(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_span
             spans = pa.array([[dict(zip(("kind", "start", "end", "score"), x, strict=True)) for x in f] for f in found], pa.list_(_SPAN))
             clean = [pa.array([redact(t, f) for t, f in zip(texts, found, strict=True)], pa.string())] if clean_col else []
             yield pa.RecordBatch.from_arrays([*batch.columns, spans, *clean], [*rest, spans_col, *added])
+        release()
 
     return own.mapInArrow(run, f"{kinds}, `{spans_col}` array<struct<kind string, start long, end long, score double>>" + (f", `{clean_col}` string" if clean_col else ""))
 

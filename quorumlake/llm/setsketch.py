@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, join_spread
-from .shared import cut, map_file, new_folder, writing
+from .shared import cut, map_file, new_folder, release, writing
 from .units import groups, pairs, units
 from .words import mix, shingle_sets
 
@@ -112,6 +112,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                     for d, r in zip(full, registers(elements, sizes[full]).astype(">u2"), strict=True):
                         regs[d] = r.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *map(pa.array, _digests(elements, sizes)), pa.array(regs, pa.binary())], ["id", "n", "d1", "d2", "regs"])
+        release()
 
     return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, regs binary")
 

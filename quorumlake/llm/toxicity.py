@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, release
 
 #: Terms of one line can stand for each other.
 IDENTITY_TERMS = (
@@ -138,6 +138,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
                     n[y] += 1
                 names = list(seen[0].keys() | seen[1].keys())
                 yield pa.RecordBatch.from_pydict({"f": [*names, ""], "pos": [*(seen[1][f] for f in names), n[1]], "neg": [*(seen[0][f] for f in names), n[0]]})
+        release()
 
     found = rows.mapInArrow(counted, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # what is rarer than LEAST_ROWS, or as frequent in both classes as chance would have it, is no feature
@@ -189,6 +190,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([model.score(t) for t in batch.column(at).to_pylist()], pa.float64())], [*names, score_col])
+        release()
 
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in own.schema)
     return own.mapInArrow(run, f"{kinds}, `{score_col}` double")
