@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
-
 WIDTH = 3
 
 
@@ -37,7 +35,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             )
         ).alias("pos", "w"),
     ).select("__ql_key", "pos", F.col("w.a").alias("wa"), F.col("w.b").alias("wb"))
-    windows = cut(windows, "windows")  # read twice, made once
     firsts = windows.groupBy("wa", "wb").agg(F.min(F.struct("__ql_key", "pos")).alias("first"), F.max(F.struct("__ql_key", "pos")).alias("last")).where("first <> last").drop("last")
     same = F.col("first.__ql_key") == F.col("__ql_key")
     later = windows.join(firsts, ["wa", "wb"]).where(F.col("first") != F.struct("__ql_key", "pos"))
