@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,18 +52,34 @@ def _typed(raw: Column, name: str, kind: str, as_: str) -> Column:
 _NUMBER = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being worked out once a row however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def rigor_report(text: Column) -> Column:
     """struct of overallScore, the axes (0 to 10), critique and up to six strengths and weaknesses. What is no number counts 0, a critique that is no string is empty, text that is no JSON object counts as an empty one; null for JSON's null."""
-    raw = F.coalesce(F.try_parse_json(_object(text)), F.parse_json(F.lit("{}")))
-    axes = [clamp(_typed(raw, a, _NUMBER, "double"), 0.0, 10.0) for a in AXES]
-    overall = round2((axes[0] + axes[1] + axes[2] + axes[3] + axes[4]) / 5.0)
 
-    def items(name: str) -> Column:
+    def items(raw: Column, name: str) -> Column:
         return F.slice(F.coalesce(_typed(raw, name, "^ARRAY", "array<string>"), F.array().cast("array<string>")), 1, MOST_ITEMS)
 
-    critique = F.coalesce(_typed(raw, "critique", "^STRING$", "string"), F.lit(""))
-    made = F.struct(overall.alias("overallScore"), *(x.alias(a) for a, x in zip(AXES, axes, strict=True)), critique.alias("critique"), items("strengths").alias("strengths"), items("weaknesses").alias("weaknesses"))
-    return F.when(~is_null(text), made)
+    def axis(raw: Column, name: str) -> Column:
+        return _once(_typed(raw, name, _NUMBER, "double"), lambda x: clamp(x, 0.0, 10.0))
+
+    def parts(raw: Column) -> Column:
+        critique = F.coalesce(_typed(raw, "critique", "^STRING$", "string"), F.lit(""))
+        return F.struct(*(axis(raw, a).alias(a) for a in AXES), critique.alias("critique"), items(raw, "strengths").alias("strengths"), items(raw, "weaknesses").alias("weaknesses"))
+
+    def with_overall(made: Column) -> Column:
+        axes = [made[a] for a in AXES]
+        overall = round2((axes[0] + axes[1] + axes[2] + axes[3] + axes[4]) / 5.0)
+        return F.struct(overall.alias("overallScore"), *(made[name].alias(name) for name in (*AXES, "critique", "strengths", "weaknesses")))
+
+    def report(bare: Column) -> Column:
+        raw = F.coalesce(F.try_parse_json(F.when(bare.startswith("{"), bare).otherwise("{}")), F.parse_json(F.lit("{}")))
+        return F.when(bare != "null", _once(_once(raw, parts), with_overall))
+
+    return _once(bare_json(text), report)
 
 
 def survey_pass(text: Column, persona: Column) -> Column:

@@ -98,7 +98,7 @@ def _rigor_answers(d: Domain) -> DataFrame:
  select event_id id, event_id % 11 = 1 bad, case when event_id % 11 = 1 then 0e0 else least(10e0, event_id % 13) end l, case when event_id % 11 = 1 then 0e0 else (event_id % 7) + 0.5e0 end m, case when event_id % 11 = 1 then 0e0 else (event_id % 10) * 1e0 end n,
   case when event_id % 11 <> 1 and event_id % 2 = 0 then 'c' else '' end critique, case when event_id % 11 = 1 then 0 else 6 end n_strengths, case when event_id % 11 <> 1 and event_id % 3 <> 0 then 'w' else '' end weaknesses from events where event_id % 11 <> 0)""")
 def rigor_reports(d):
-    r = _rigor_answers(d).select("id", reports.rigor_report(F.col("raw")).alias("r")).where("r is not null")
+    r = _rigor_answers(d).where(~reports.is_null(F.col("raw"))).select("id", reports.rigor_report(F.col("raw")).alias("r"))
     return r.select("id", F.col("r.overallScore").alias("overall"), F.col("r.logicScore").alias("logic"), F.col("r.methodologyScore").alias("methodology"), F.col("r.citationsScore").alias("citations"), F.col("r.noveltyScore").alias("novelty"), F.col("r.critique").alias("critique"), F.size("r.strengths").alias("n_strengths"), F.array_join("r.weaknesses", ",").alias("weaknesses"))
 
 

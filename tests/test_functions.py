@@ -50,6 +50,12 @@ def test_reports(spark):
     assert (s["confidence"], s["endorsing"], s["consensus"]) == (0.75, 2, "endorse")
 
 
+def test_report_parsed_once(spark):
+    """However many parts of a report are used, its text is parsed once for the filter and once for all of them."""
+    made = spark.createDataFrame([("{}",)], "raw string").select(reports.rigor_report(F.col("raw")).alias("r")).where("r is not null").select("r.overallScore", "r.logicScore", "r.critique")
+    assert 1 <= made._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") <= 2
+
+
 def test_media(spark):
     for h, kind in {"52494646" + "00" * 8: "wav", "1A45DFA3" + "00" * 8: "webm", "494433" + "00" * 9: "mp3", "FFFB" + "00" * 10: "mp3", "00000000667479700000000000": "mp4", "4F676753" + "00" * 8: "ogg", "00" * 11: "unknown", "00" * 12: "unknown"}.items():
         assert one(spark, media.audio_format(F.unhex(F.lit(h)))) == kind
