@@ -200,5 +200,7 @@ TABLES = ("customer", "documents", "events", "lineitem", "orders")
 
 @query("select unnest(['customer', 'documents', 'events', 'lineitem', 'orders']) as name")
 def files_discovered(d):
-    found = files.discover(d.spark, d.dir, "*.parquet").select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"))
-    return found.where(F.col("name").isin(*TABLES))
+    """The tables that files were found of; a table is a file, or a folder of files of any name and depth."""
+    place = files.below(F.col("path"), d.dir)
+    found = files.discover(d.spark, d.dir).select(F.regexp_extract(place, r"^/([^/]+)\.parquet(/|$)", 1).alias("name"))
+    return found.where(F.col("name").isin(*TABLES)).distinct()

@@ -18,8 +18,12 @@ REDACTED = "[Redacted]"
 def discover(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """(path, modificationTime, length) of the files below folder whose names match; a name or folder that begins with _ hides what is in it. Contents are not read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-    below = F.substr("path", F.instr("path", _plain(folder)) + len(_plain(folder)))
-    return found.select("path", "modificationTime", "length").where(~below.rlike("(^|/)_"))
+    return found.select("path", "modificationTime", "length").where(~below(F.col("path"), folder).rlike("(^|/)_"))
+
+
+def below(path: Column, folder: str) -> Column:
+    """What follows folder in the path of a file that was discovered there."""
+    return F.substr(path, F.instr(path, _plain(folder)) + len(_plain(folder)))
 
 
 def _plain(folder: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quorumlake.functions import reports, text
 from quorumlake.operators import writes
 from quorumlake.plans import refresh
+from quorumlake.plans.catalog import QUERIES
 from quorumlake.sources import files
 from quorumlake.streaming import sse
 
@@ -95,6 +96,15 @@ def test_files(spark, tmp_path):
         (tmp_path / "w" / f"y{n}.bin").write_bytes(b"22")
 
 
+def test_tables_of_many_files(spark, tmp_path):
+    """A table is found once, be it one file or a folder of files; a folder further down is none."""
+    for name in ("orders.parquet", "customer.parquet/part-0.parquet", "customer.parquet/part-1.parquet", "events.parquet/day=1/part-0", "customer.parquet/orders.parquet", "old/lineitem.parquet", "_documents.parquet", "nation.parquet"):
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_text(name)
+    for folder in (f"{tmp_path}/t", f"file://{tmp_path}/t/"):
+        assert sorted(r["name"] for r in QUERIES["files_discovered"](spark, folder).collect()) == ["customer", "events", "orders"]
+
+
 def test_redacted(spark):
     rows = spark.sql("select named_struct('req', named_struct('headers', named_struct('authorization', 's', 'cookie', cast(null as string), 'host', 'h'))) as row")
     r = rows.select(files.redacted(F.col("row"), rows.schema["row"].dataType).alias("row")).first()["row"]["req"]["headers"]
